@@ -91,6 +91,7 @@ class Block:
     heavy_s: np.ndarray
     heavy_t: np.ndarray
     group: np.ndarray
+    n_t: np.ndarray  # of each group: distinct words in the sentences of its target
 
 
 def _side(groups: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -179,6 +180,7 @@ def match(source: list[list[str]], target: list[list[str]], table: Table, least:
     return Block(
         first_s, first_t, left[edge][keep], right[edge][keep], np.stack([ends[:-1][keep], ends[1:][keep]], 1), total[keep],
         s_ident, t_ident, gain.tolist(), most_s.tolist(), most_t.tolist(), anchors[keep], heavy_s, heavy_t, group_s[left[edge][keep]] if len(edge) else edge,
+        np.bincount(group_t[t_of], minlength=len(target)),
     )
 
 

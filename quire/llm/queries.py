@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import align, packing, pieces, repetition, terms, tokens
+from quire.llm import align, packing, pairs, pieces, repetition, terms, tokens
 from quire.llm.sql import SQL
 from quire.session import table
 
@@ -21,6 +21,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return terms.useless_terms(p1_terms(spark, folder))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries whose rendering can't be used, with the defect."""
+    return pairs.broken_pairs(table(spark, folder, "overlay_review"), table(spark, folder, "lexicon"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences of either side of a group that render each other."""
     groups = table(spark, folder, "chunk_groups")
@@ -67,7 +72,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_terms, p1_found, p3_found, p4_pieces, p4_found, p5_ids, p6_containers, p7_shares, p7_found)
+        for f in (p1_terms, p1_found, p2_found, p3_found, p4_pieces, p4_found, p5_ids, p6_containers, p7_shares, p7_found)
     }
 
 
