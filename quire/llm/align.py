@@ -53,10 +53,33 @@ def tokens(text: str) -> list[str]:
 
 @dataclass
 class Table:
-    """Translations of target words as (source word, confidence), and weights of source words."""
+    """Translations of target words as (source word, confidence), and weights of source words.
+
+    ``plain`` are the words that sources also write in lower case, so that they are no names.
+    """
 
     entries: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
     weight: dict[str, float] = field(default_factory=dict)
+    plain: set[str] = field(default_factory=set)
+
+    def frame(self) -> pd.DataFrame:
+        """As rows (kind, a, b, c)."""
+        rows = [("t", w, e, c) for w, row in self.entries.items() for e, c in row]
+        rows += [("w", w, "", c) for w, c in self.weight.items()] + [("p", w, "", 0.0) for w in self.plain]
+        return pd.DataFrame(rows, columns=["kind", "a", "b", "c"])
+
+    @staticmethod
+    def of_rows(rows: list) -> Table:
+        """From rows as ``frame`` gives them."""
+        out = Table()
+        for kind, a, b, c in rows:
+            if kind == "t":
+                out.entries.setdefault(a, []).append((b, c))
+            elif kind == "w":
+                out.weight[a] = c
+            else:
+                out.plain.add(a)
+        return out
 
     @staticmethod
     def seeded(lexicon: list[tuple[str | None, str | None]]) -> Table:
@@ -372,16 +395,9 @@ def train(groups: DataFrame, lexicon: DataFrame, rows: int = TRAIN_ROWS) -> Tabl
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.concat([pd.DataFrame({"group_id": [], "s": [], "t": []}), *batches]).sort_values("group_id", kind="stable")
-        table = learn([sentences(x) for x in frame["s"]], [sentences(x) for x in frame["t"]], pairs)
-        yield pd.DataFrame([("t", w, e, c) for w, row in table.entries.items() for e, c in row] + [("w", w, "", c) for w, c in table.weight.items()], columns=["kind", "a", "b", "c"])
+        yield learn([sentences(x) for x in frame["s"]], [sentences(x) for x in frame["t"]], pairs).frame()
 
-    out = Table()
-    for kind, a, b, c in sample.coalesce(1).mapInPandas(run, "kind string, a string, b string, c double").collect():
-        if kind == "t":
-            out.entries.setdefault(a, []).append((b, c))
-        else:
-            out.weight[a] = c
-    return out
+    return Table.of_rows(sample.coalesce(1).mapInPandas(run, "kind string, a string, b string, c double").collect())
 
 
 def align_groups(groups: DataFrame, table: Table) -> DataFrame:
