@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> text).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("text",)
 
 
 def queries() -> dict[str, Callable]:
