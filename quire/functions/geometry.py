@@ -39,10 +39,10 @@ def contains(outer: Column, inner: Column, slack: float = 0.0) -> Column:
 
 
 def gap(a: Column, b: Column) -> Column:
-    """Euclidean distance between two boxes, 0 where they touch."""
+    """The larger of the distances in x and y between two boxes, 0 where they touch."""
     dx = F.greatest(b.x0 - a.x1, a.x0 - b.x1, lit(0.0))
     dy = F.greatest(b.y0 - a.y1, a.y0 - b.y1, lit(0.0))
-    return F.sqrt(dx * dx + dy * dy)
+    return F.greatest(dx, dy)
 
 
 def transformed(a: Column, m: Column) -> Column:
