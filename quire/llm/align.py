@@ -36,6 +36,8 @@ FREE, AGREED = (0.9, 0.35), (0.8, 0.33)
 PLENTY, PLENTY_SHARE = 1.15, 0.25
 #: Strength from which two sentences that are each other's best divide a gap.
 CLEAR = 1.0
+#: Pairs of sentences from which translations are learned; with fewer the lexicon stays alone.
+LEAST_PAIRS = 150
 #: Groups handled at once.
 BLOCK = 1500
 
@@ -119,7 +121,7 @@ class Block:
 
 def _side(groups: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Tokens, the sentence of each, and the first sentence of each group."""
-    first = np.concatenate([[0], np.cumsum([len(g) for g in groups])])
+    first = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64)
     # The number of a footnote is no anchor.
     flat = tokens("\n".join([_note.sub("", s) if "[^" in s else s for g in groups for s in g]))
     is_end = np.array([t == "\n" for t in flat], bool)
@@ -244,6 +246,8 @@ def gap(a: int, b: int, c: int, d: int, score: dict[tuple[int, int], float]) ->
         return []
     if n == 1 and m == 1:
         return [(a, c)] if (a, c) in score else []
+    if not any(a <= i < b and c <= j < d for i, j in score):
+        return []
     best = [[-1e9] * (m + 1) for _ in range(n + 1)]
     step: list[list] = [[None] * (m + 1) for _ in range(n + 1)]
     best[0][0] = 0.0
@@ -362,6 +366,8 @@ def learn(source: list[list[str]], target: list[list[str]], lexicon: list[tuple[
             n_t.update(t)
             for w in t:
                 both[w].update(s)
+        if n < LEAST_PAIRS:
+            return Table.seeded(lexicon)
         entries: dict[str, list[tuple[str, float]]] = {}
         for w, counts in both.items():
             if n_t[w] < LEAST_COUNT:

@@ -4,35 +4,21 @@ from __future__ import annotations
 
 import re
 
-#: Words whose period doesn't end a sentence (compared in lower case). Fixed values.
-ABBREVIATIONS = frozenset(
-    "e.g i.e etc vs cf no nos mr mrs ms dr prof sr jr st mt fig figs eq vol ch chap sec pp p ed eds al inc ltd co corp "
-    "jan feb mar apr jun jul aug sep sept oct nov dec approx dept univ gen col lt sgt capt rev hon u.s u.k".split()
-)
+from quire.functions.sentences import is_abbreviation, kept_spans
+
 _end = re.compile("[.!?…]+[\"'”’)\\]]*(?=\\s)")
-_word = re.compile(r"[A-Za-z][A-Za-z.]*\Z")
-_kept = re.compile(r"`+[^`]*`+|\[[^\]\n]*\]\([^)\n]*\)")
 _mark = re.compile(r"\s*(?:\d+[.)]|[-*+•]|#{1,6}|\[\^[^\]\s]+\]:|>)\s*\Z")
 
 
-def _abbreviated(text: str, at: int) -> bool:
-    """Whether the period at ``at`` belongs to an abbreviation or an initial."""
-    found = _word.search(text, max(0, at - 12), at)
-    if found is None or text[at] != ".":
-        return False
-    word = found.group()
-    return (len(word) == 1 and word.isupper()) or word.lower().rstrip(".") in ABBREVIATIONS
-
-
 def line_sentences(line: str) -> list[str]:
     """The sentences of one line; a list, heading or footnote mark stays with its sentence."""
-    kept = [m.span() for m in _kept.finditer(line)] if "`" in line or "](" in line else ()
+    kept = kept_spans(line)
     out, start = [], 0
     for m in _end.finditer(line):
         at = m.start()
         if kept and any(a < at < b or a < m.end() < b for a, b in kept):
             continue
-        if line[at] == "." and _abbreviated(line, at):
+        if line[at] == "." and is_abbreviation(line, at):
             continue
         if not out and _mark.match(line, start, m.end()):
             continue
