@@ -78,8 +78,8 @@ def dominant_style(spans: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("italic") | T.is_italic(F.col("font"))).alias("italic"), T.font_family(F.col("font")).alias("family"), "color",
     ).where("_n > 0")
     weights = styled.groupBy(*keys, "font_size", "bold", "italic", "family", "color").agg(F.sum("_n").alias("_w"))
-    best = F.max(F.struct("_w", "font_size", (~F.col("bold")).alias("plain"), "italic", "family", "color")).alias("b")
-    return weights.groupBy(*keys).agg(best).select(*keys, "b.font_size", (~F.col("b.plain")).alias("bold"), "b.italic", "b.family", "b.color")
+    best = F.max(F.struct("_w", "font_size", (~F.col("bold")).alias("plain"), "italic", "family", "color")).alias("_style")
+    return weights.groupBy(*keys).agg(best).select(*keys, "_style.font_size", (~F.col("_style.plain")).alias("bold"), "_style.italic", "_style.family", "_style.color")
 
 
 def heading_tiers(headings: DataFrame, scope: str, size: str) -> DataFrame:
@@ -131,7 +131,7 @@ def source_profile(pages: DataFrame, scope: str) -> DataFrame:
 
     Pages: width, height, left, top, right, bottom (the margins around the text; null without text).
     """
-    sizes = pages.groupBy(scope, F.bround("width", 2).alias("w"), F.bround("height", 2).alias("h")).agg(F.count("*").alias("n"))
-    mode = sizes.groupBy(scope).agg(F.max(F.struct("n", "w", "h")).alias("m"))
+    sizes = pages.groupBy(scope, F.bround("width", 2).alias("_w"), F.bround("height", 2).alias("_h")).agg(F.count("*").alias("_n"))
+    mode = sizes.groupBy(scope).agg(F.max(F.struct("_n", "_w", "_h")).alias("_m"))
     margins = pages.groupBy(scope).agg(*[F.bround(F.median(c), 2).alias(c) for c in ("left", "top", "right", "bottom")])
-    return mode.join(margins, scope).select(scope, F.col("m.w").alias("width"), F.col("m.h").alias("height"), "left", "top", "right", "bottom")
+    return mode.join(margins, scope).select(scope, F.col("_m._w").alias("width"), F.col("_m._h").alias("height"), "left", "top", "right", "bottom")

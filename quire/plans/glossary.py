@@ -19,7 +19,7 @@ def _approved(spark, folder):
 
 
 def _units(spark, folder):
-    return store.records(table(spark, folder, "chunks")).select("job_id", "id", "source_text", "translated_text")
+    return store.records(table(spark, folder, "chunks").select("job_id", "id", "source_text", "translated_text", "updated_at")).drop("updated_at")
 
 
 def _lexicon(spark, folder):

@@ -16,7 +16,7 @@ PAGE = ["job_id", "page"]
 
 def _boxes(spark, folder):
     """unit_id with a box on a page of 595 x 842 points, a size and a text."""
-    rows = store.records(table(spark, folder, "overlay_review"), "entry_id", "loaded_at").where("page is not null and job_id is not null")
+    rows = store.records(table(spark, folder, "overlay_review").select("entry_id", "job_id", "page", "source_text", "scale", "reason", "loaded_at"), "entry_id", "loaded_at").where("page is not null and job_id is not null")
     e = F.col("entry_id")
     rows = rows.select(
         "job_id", F.floor(F.col("page") / 20).cast("int").alias("page"), e.alias("unit"), ((e * 37) % 500).cast("double").alias("x0"), ((e * 53) % 800).cast("double").alias("y0"),

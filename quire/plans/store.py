@@ -16,13 +16,16 @@ def _now():
     return F.lit(NOW).cast("timestamp")
 
 
-def _units(spark, folder):
-    return store.records(table(spark, folder, "chunks"))
+def _units(spark, folder, *columns):
+    """Chunk records with only the columns a query needs, so that texts aren't read or shuffled for counts."""
+    rows = table(spark, folder, "chunks")
+    return store.records(rows.select("id", "updated_at", *columns) if columns else rows)
 
 
-def _paged(spark, folder):
+def _paged(spark, folder, texts=False):
     """Chunks with a page of ten each."""
-    return _units(spark, folder).withColumn("page", F.floor(F.col("id") / 10).cast("long"))
+    columns = ("job_id", "status", "next_attempt_at", "translatable", "char_count", "source_text")
+    return _units(spark, folder, *columns[: 6 if texts else 5]).withColumn("page", F.floor(F.col("id") / 10).cast("long"))
 
 
 def _pages(units):
@@ -35,18 +38,18 @@ def _progress(spark, folder):
 
 
 def _texts(spark, folder):
-    units = _paged(spark, folder)
+    units = _paged(spark, folder, True)
     got = store.page_texts(units.select("job_id", "page"), units)
     return got.select("job_id", "page", F.size("texts").alias("units"), F.sha2(F.array_join("texts", "\n"), 256).alias("hash"))
 
 
 def _shares(spark, folder):
-    units = _units(spark, folder).where("last_run_id is not null").withColumn("billed", F.lit(10_007).cast("long"))
+    units = _units(spark, folder, "last_run_id", "char_count").where("last_run_id is not null").withColumn("billed", F.lit(10_007).cast("long"))
     return store.apportion(units, ["last_run_id"], "id", "billed", "char_count").select("id", "share")
 
 
 def _assembled(spark, folder):
-    groups = store.assemble(_units(spark, folder))
+    groups = store.assemble(_units(spark, folder, "job_id", "parent_block_id", "translatable", "status", "source_text", "translated_text"))
     return groups.select(
         "job_id", "group_id", "parent_block_id", "chunk_ids", F.size("translated").alias("translated"), "parity_check",
         F.sha2(F.concat_ws("", "source"), 256).alias("source_hash"),
@@ -54,49 +57,49 @@ def _assembled(spark, folder):
 
 
 def _dense(spark, folder):
-    units = _units(spark, folder).where("parent_block_id is not null")
+    units = _units(spark, folder, "parent_block_id", "sub_index").where("parent_block_id is not null")
     return store.dense_violations(units.withColumn("position", F.col("sub_index") + 1), "parent_block_id", "position")
 
 
 def _kinds(spark, folder):
     """Runs of chunks of one kind within a job."""
-    rows = lines.islands(_units(spark, folder), ["job_id"], ["id"], ["kind"])
+    rows = lines.islands(_units(spark, folder, "job_id", "kind"), ["job_id"], ["id"], ["kind"])
     return rows.groupBy("job_id", "island", "kind").agg(F.count("*").alias("chunks"), F.min("id").alias("first_id"))
 
 
 def _review(spark, folder):
     """What happened to units by reason, with a row for every known reason."""
     reasons = ("could_not_fit", "shrunk_below_threshold", "glyph_missing", "kept_original", "fragment", "over_image")
-    rows = store.records(table(spark, folder, "overlay_review"), "entry_id", "loaded_at")
+    rows = store.records(table(spark, folder, "overlay_review").select("entry_id", "reason", "loaded_at"), "entry_id", "loaded_at")
     known = spark.createDataFrame([(r,) for r in reasons], "reason string")
     counts = rows.groupBy("reason").agg(F.count("*").alias("entries"))
     return known.join(counts, "reason", "left").select("reason", F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 QUERIES = {
-    "unit_records": lambda s, d: _units(s, d).select("id", "job_id", "kind", "status", "char_count", "updated_at"),
-    "state_counts": lambda s, d: store.state_counts(_units(s, d), _now()),
-    "unit_totals": lambda s, d: store.totals(_units(s, d)),
-    "provider_counts": lambda s, d: store.provider_counts(_units(s, d)),
-    "next_attempts": lambda s, d: store.next_attempts(_units(s, d)),
-    "failed_ids": lambda s, d: store.ids_where(_units(s, d), F.col("status") == "FAILED"),
-    "review_ids": lambda s, d: store.ids_where(_units(s, d), F.col("review_flag")),
-    "other_glossary": lambda s, d: store.other_glossary(_units(s, d), table(s, d, "jobs")),
-    "run_results": lambda s, d: store.run_results(_units(s, d)),
+    "unit_records": lambda s, d: _units(s, d, "job_id", "kind", "status", "char_count").select("id", "job_id", "kind", "status", "char_count", "updated_at"),
+    "state_counts": lambda s, d: store.state_counts(_units(s, d, "job_id", "status", "next_attempt_at"), _now()),
+    "unit_totals": lambda s, d: store.totals(_units(s, d, "job_id", "status", "chars_sent", "chars_billed", "char_count", "translatable")),
+    "provider_counts": lambda s, d: store.provider_counts(_units(s, d, "job_id", "status", "provider")),
+    "next_attempts": lambda s, d: store.next_attempts(_units(s, d, "job_id", "status", "next_attempt_at")),
+    "failed_ids": lambda s, d: store.ids_where(_units(s, d, "job_id", "status"), F.col("status") == "FAILED"),
+    "review_ids": lambda s, d: store.ids_where(_units(s, d, "job_id", "review_flag"), F.col("review_flag")),
+    "other_glossary": lambda s, d: store.other_glossary(_units(s, d, "job_id", "status", "translatable", "glossary_hash"), table(s, d, "jobs")),
+    "run_results": lambda s, d: store.run_results(_units(s, d, "last_run_id", "status")),
     "last_runs": lambda s, d: store.last_runs(table(s, d, "runs")),
-    "claim": lambda s, d: store.claim(_units(s, d), _now(), 4),
+    "claim": lambda s, d: store.claim(_units(s, d, "job_id", "status", "next_attempt_at"), _now(), 4),
     "claim_batch": lambda s, d: store.claim_batch(_paged(s, d), _now(), 50, 2000),
     "page_progress": _progress,
     "page_texts": _texts,
-    "ordered_page": lambda s, d: _units(s, d).where("id > 100").orderBy("id").limit(200).select("id", "job_id"),
+    "ordered_page": lambda s, d: _units(s, d, "job_id").where("id > 100").orderBy("id").limit(200).select("id", "job_id"),
     "state_violations": lambda s, d: store.state_violations(_units(s, d)),
     "dense_violations": _dense,
     "assembled_groups": _assembled,
     "billed_shares": _shares,
-    "to_send": lambda s, d: store.to_send(_units(s, d), _now()),
+    "to_send": lambda s, d: store.to_send(_units(s, d, "job_id", "status", "next_attempt_at", "translatable", "char_count"), _now()),
     "kind_runs": _kinds,
     "review_tally": _review,
-    "suspect_lengths": lambda s, d: _units(s, d).where(is_truncated_answer(F.col("source_text"), F.col("translated_text"))).select("id"),
+    "suspect_lengths": lambda s, d: _units(s, d, "source_text", "translated_text").where(is_truncated_answer(F.col("source_text"), F.col("translated_text"))).select("id"),
 }
 
 _U = "WITH u AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS k FROM chunks WHERE id IS NOT NULL) WHERE k = 1)"
