@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import align, packing, pairs, pieces, repetition, terms, tokens
 from quire.llm.sql import SQL
-from quire.session import table
+from quire.session import spread, table
 
 
 def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,7 +29,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences of either side of a group that render each other."""
     groups = table(spark, folder, "chunk_groups")
-    return align.align_groups(groups, align.train(groups, table(spark, folder, "lexicon")))
+    return align.align_groups(spread(groups), align.train(groups, table(spark, folder, "lexicon")))
 
 
 def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
@@ -50,23 +50,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return tokens.encode_corpus(table(spark, folder, "documents"))
+    return tokens.encode_corpus(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with a text in containers of its provider's capacity."""
-    return packing.pack_corpus(table(spark, folder, "documents"), table(spark, folder, "provider_limits"))
+    return packing.pack_corpus(spread(table(spark, folder, "documents").select("doc_id", "provider", "text")), table(spark, folder, "provider_limits"))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Share of repeated words of every document."""
-    return repetition.repeated_share(table(spark, folder, "documents")).drop("probability")
+    return repetition.repeated_share(spread(table(spark, folder, "documents").select("doc_id", "text"))).drop("probability")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of which at least 30 % repeats what they said before."""
     documents = table(spark, folder, "documents")
-    return repetition.repeated_share(documents, model=repetition.train(documents), found=True).select("doc_id")
+    return repetition.repeated_share(spread(documents.select("doc_id", "text")), model=repetition.train(documents), found=True).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
