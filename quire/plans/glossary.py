@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import glossary, store
-from quire.session import table
+from quire.session import spread, table
 
 
 def _entries(spark, folder):
@@ -44,7 +44,7 @@ def _precedence(spark, folder):
 
 
 def _discovered(spark, folder):
-    return glossary.discover_terms(table(spark, folder, "documents").where("lang = 'en'"), "job_id", "doc_id", "text")
+    return glossary.discover_terms(spread(table(spark, folder, "documents").where("lang = 'en'").select("job_id", "doc_id", "text")), "job_id", "doc_id", "text")
 
 
 def _found(spark, folder):

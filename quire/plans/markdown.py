@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from quire.operators import lines
 from quire.operators import markdown as M
-from quire.session import table
+from quire.session import spread, table
 
 
 def _docs(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def _chunks(spark, folder):

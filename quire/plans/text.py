@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import language, lines
-from quire.session import table
+from quire.session import spread, table
 
 
 def _lines(spark, folder):
-    return lines.explode_lines(table(spark, folder, "documents"), ["job_id", "doc_id"])
+    return lines.explode_lines(spread(table(spark, folder, "documents").select("job_id", "doc_id", "text")), ["job_id", "doc_id"])
 
 
 def _detect(spark, folder):
-    return language.detect_language(table(spark, folder, "documents"), "doc_id", "text")
+    return language.detect_language(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _ratios(spark, folder):
-    return language.language_ratios(table(spark, folder, "documents"), "doc_id", "text")
+    return language.language_ratios(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _running(spark, folder):
@@ -64,7 +64,7 @@ def _list_items(spark, folder):
 
 def _scalars(spark, folder):
     c = F.col("text")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "title", "n_chars", "section_no", "created_at")).select(
         "doc_id", T.content_hash(c).alias("content_hash"), F.length(T.squeezed(c)).alias("squeezed_chars"), F.size(T.words(F.coalesce(c, F.lit("")))).alias("words"),
         T.truncated(c, 100).alias("short"), F.length(T.strip_markup(c)).alias("plain_chars"), T.escape_markup(F.substring(c, 1, 200)).alias("escaped"),
         T.turkish_fold(F.col("title")).alias("folded_title"), T.target_stem(F.col("title")).alias("stem"), T.to_superscript(F.col("n_chars").cast("string")).alias("raised"),

@@ -141,7 +141,7 @@ def test_layout(spark):
     assert {r.i: (r.row, r.place) for r in layout.text_rows(df, ["d", "p"], "i").collect()} == {1: (1, 1), 3: (1, 2), 2: (2, 1), 4: (3, 1)}
     crossing = spark.createDataFrame([("d", 1, 1, 0.0, 0.0, 100.0, 20.0, True), ("d", 1, 2, 0.0, 10.0, 100.0, 40.0, True), ("d", 1, 3, 98.0, 0.0, 200.0, 15.0, False)], "d string, p int, i int, x0 double, y0 double, x1 double, y1 double, painted boolean")
     got = {r.i: (r.x1, r.y0, r.y1, r.dropped) for r in layout.separate(crossing, ["d", "p"], "i", "painted").collect()}
-    assert got == {1: (98.0, 0.0, 15.0, False), 2: (98.0, 15.0, 40.0, False), 3: (200.0, 0.0, 15.0, False)}
+    assert got == {1: (98.0, 0.0, 15.0, False), 2: (100.0, 15.0, 40.0, False), 3: (200.0, 0.0, 15.0, False)}
     assert layout.clusters(df.limit(0), ["d", "p"], "i", 1.0).count() == 0
 
 
