@@ -123,17 +123,16 @@ def term_frequencies(entries: DataFrame, rare: int = RARE, common: float = COMMO
     listed = cut(
         spelled.select(term_form("source").alias("term"), "job_id", "n").groupBy("term", "job_id").agg(F.sum("n").alias("n"))
     )
-    n_files = listed.where("job_id is not null").select("job_id").distinct().agg(F.count("*").alias("all_files"))
+    n_files = listed.where("job_id is not null").select("job_id").distinct().count()
     listed = listed.where("term is not null").withColumn("files", F.col("job_id").isNotNull().cast("long"))
     ids = cut(dictionary(listed.select("term").distinct()))
     encoded = listed.join(ids, "term").select("term_id", "n", "files")
     arrays = encoded.mapInPandas(_accumulate, "lot long, offsets array<int>, n array<long>, files array<long>")
     sums = arrays.repartition("lot").sortWithinPartitions("lot").mapInPandas(_sum_range, "term_id long, occurrences long, files long")
-    # n_files is one row.
-    return ids.join(sums, "term_id").join(F.broadcast(n_files)).select(
+    return ids.join(sums, "term_id").select(
         "term", "occurrences", "files",
         (F.col("occurrences") < rare).alias("is_rare"),
-        (F.col("files") > common * F.col("all_files")).alias("is_common"),
+        (F.col("files") > common * n_files).alias("is_common"),
     )
 
 
