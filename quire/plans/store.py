@@ -10,6 +10,11 @@ from quire.session import table
 
 #: The moment the queue is looked at. Fixed, so that results can be compared.
 NOW = "2025-06-01 00:00:00"
+#: The reasons a unit may be reported for. Fixed values.
+REVIEW_REASONS = (
+    "shrunk_below_threshold", "could_not_fit", "fragment", "kept_original", "glyph_missing",
+    "provider_empty", "residual_glyphs", "over_image", "collateral_redaction", "page_shared_scale",
+)
 
 
 def _now():
@@ -68,12 +73,11 @@ def _kinds(spark, folder):
 
 
 def _review(spark, folder):
-    """What happened to units by reason, with a row for every known reason."""
-    reasons = ("could_not_fit", "shrunk_below_threshold", "glyph_missing", "kept_original", "fragment", "over_image")
+    """What happened to units by reason, with a row for every known reason and for every other one that occurs."""
     rows = store.records(table(spark, folder, "overlay_review").select("entry_id", "reason", "loaded_at"), "entry_id", "loaded_at")
-    known = spark.createDataFrame([(r,) for r in reasons], "reason string")
+    known = spark.createDataFrame([(r,) for r in REVIEW_REASONS], "reason string")
     counts = rows.groupBy("reason").agg(F.count("*").alias("entries"))
-    return known.join(counts, "reason", "left").select("reason", F.coalesce("entries", F.lit(0)).alias("entries"))
+    return known.join(counts, "reason", "full").select("reason", F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 QUERIES = {
