@@ -44,7 +44,8 @@ def _precedence(spark, folder):
 
 
 def _discovered(spark, folder):
-    return glossary.discover_terms(spread(table(spark, folder, "documents").where("lang = 'en'").select("job_id", "doc_id", "text")), "job_id", "doc_id", "text")
+    """Terms of all texts of a job; ``lang`` is missing or wrong too often to choose by."""
+    return glossary.discover_terms(spread(table(spark, folder, "documents").select("job_id", "doc_id", "text")), "job_id", "doc_id", "text")
 
 
 def _found(spark, folder):

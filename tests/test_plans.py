@@ -4,7 +4,7 @@ from datetime import datetime
 
 import duckdb
 
-from quire.plans import store
+from quire.plans import glossary, store
 
 AT = datetime(2025, 1, 1)
 SMALL = "/root/testdata/sf0.001"
@@ -30,3 +30,11 @@ def test_review_tally_counts_every_reason(spark, tmp_path):
     assert len(got) == 12 and {k: n for k, n in got.items() if n} == {"page_shared_scale": 1, "new_reason": 1, None: 1, "fragment": 2}
     whole = sum(r.entries for r in store._review(spark, SMALL).collect())
     assert [(whole,)] == duck("SELECT count(DISTINCT entry_id) FROM overlay_review")
+
+
+def test_terms_are_discovered_whatever_the_language_column_says(spark, tmp_path):
+    langs = ["en", "EN", None, "tr", "English", ""]
+    rows = [("j", i, "We saw Velbek there.", lang) for i, lang in enumerate(langs)] + [("k", 9, "We saw Narlo there. We saw Narlo here. We saw Narlo.", None)]
+    write(spark, tmp_path, "documents", rows, "job_id string, doc_id long, text string, lang string")
+    got = {(r.job_id, r.source, r["count"]) for r in glossary._discovered(spark, str(tmp_path)).collect()}
+    assert got == {("j", "Velbek", 6), ("k", "Narlo", 3)}
