@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import content_hash
-from quire.session import latest, lookup_join
+from quire.session import cut, latest, lookup_join
 
 #: States of a unit of work. Fixed values.
 STATES = ("PENDING", "PROCESSING", "COMPLETED", "FAILED")
@@ -129,6 +129,21 @@ def page_of(units: DataFrame, job_id: str, after: int, size: int = 200) -> DataF
     return units.where((F.col("job_id") == job_id) & (F.col("id") > after)).orderBy("id").limit(size)
 
 
+def ordered(units: DataFrame, size: int = 200) -> DataFrame:
+    """``units`` (job_id, id, ...) with ``position`` (from 1) by id within the job and ``page`` (from 0) of ``size`` units each.
+
+    All units are sorted by range over job and id, so a job of any size is as many tasks as it needs;
+    a task ranks its own units, and one row a job and task says how many stand before them.
+    """
+    placed = cut(units.repartitionByRange("job_id", "id").withColumn("_part", F.spark_partition_id()))
+    placed = placed.withColumn("_k", F.struct("job_id", "_part"))  # so that a null job joins itself
+    earlier = Window.partitionBy("_k.job_id").orderBy("_k._part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("_k").agg(F.count("*").alias("_n")).select("_k", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rows = placed.withColumn("_own", F.row_number().over(Window.partitionBy("_k").orderBy("id"))).join(before, "_k")
+    rows = rows.withColumn("position", F.col("_before") + F.col("_own"))
+    return rows.withColumn("page", F.floor((F.col("position") - 1) / size)).drop("_k", "_part", "_own", "_before")
+
+
 def state_violations(units: DataFrame) -> DataFrame:
     """id, rule for every broken invariant of the state columns."""
     rules = {

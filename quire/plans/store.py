@@ -48,6 +48,11 @@ def _texts(spark, folder):
     return got.select("job_id", "page", F.size("texts").alias("units"), F.sha2(F.array_join("texts", "\n"), 256).alias("hash"))
 
 
+def _ordered(spark, folder):
+    """Every unit with its place in the order of its job, and the page of it that keyset paging would read it with."""
+    return store.ordered(_units(spark, folder, "job_id")).select("job_id", "id", "page", "position")
+
+
 def _shares(spark, folder):
     units = _units(spark, folder, "last_run_id", "char_count").where("last_run_id is not null").withColumn("billed", F.lit(10_007).cast("long"))
     return store.apportion(units, ["last_run_id"], "id", "billed", "char_count").select("id", "share")
@@ -96,6 +101,7 @@ QUERIES = {
     "page_progress": _progress,
     "page_texts": _texts,
     "ordered_page": lambda s, d: _units(s, d, "job_id").where("id > 100").orderBy("id").limit(200).select("id", "job_id"),
+    "ordered_units": _ordered,
     "state_violations": lambda s, d: store.state_violations(_units(s, d)),
     "dense_violations": _dense,
     "assembled_groups": _assembled,
@@ -134,6 +140,7 @@ SQL = {
  SELECT job_id, count_if(blocks = (SELECT count(*) FROM p WHERE p.job_id = pages.job_id AND p.page = pages.page AND status = 'COMPLETED')) AS pages_done, count(*) AS pages_with_text FROM pages WHERE t > 0 GROUP BY job_id""",
     "page_texts": _P + """ SELECT job_id, page, count_if(translatable)::INT AS units, sha256(coalesce(string_agg(source_text, chr(10) ORDER BY id) FILTER (translatable), '')) AS hash FROM p GROUP BY ALL""",
     "ordered_page": _U + " SELECT id, job_id FROM u WHERE id > 100 ORDER BY id LIMIT 200",
+    "ordered_units": _U + ", o AS (SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY id) AS position FROM u) SELECT job_id, id, (position - 1) // 200 AS page, position FROM o",
     "state_violations": _U + """ SELECT id, unnest(list_filter([
  CASE WHEN (status = 'COMPLETED') <> (translated_text IS NOT NULL) THEN 'completed_has_text' END,
  CASE WHEN next_attempt_at IS NOT NULL AND status <> 'PENDING' THEN 'attempt_only_pending' END,

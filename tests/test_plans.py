@@ -4,6 +4,7 @@ from datetime import datetime
 
 import duckdb
 
+from quire.operators.store import ordered, page_of
 from quire.plans import glossary, store
 
 AT = datetime(2025, 1, 1)
@@ -38,3 +39,16 @@ def test_terms_are_discovered_whatever_the_language_column_says(spark, tmp_path)
     write(spark, tmp_path, "documents", rows, "job_id string, doc_id long, text string, lang string")
     got = {(r.job_id, r.source, r["count"]) for r in glossary._discovered(spark, str(tmp_path)).collect()}
     assert got == {("j", "Velbek", 6), ("k", "Narlo", 3)}
+
+
+def test_ordered_units_are_all_units(spark):
+    rows = [("j" if i % 3 else None, i) for i in range(50, 0, -1)] + [("k", 99)]
+    df = spark.createDataFrame(rows, "job_id string, id long")
+    got = {(r.job_id, r.id): (r.page, r.position) for r in ordered(df, 10).collect()}
+    for job in ("j", None, "k"):
+        ids = sorted(i for j, i in rows if j == job)
+        assert [got.pop((job, i)) for i in ids] == [(k // 10, k + 1) for k in range(len(ids))]
+    assert not got and ordered(df.limit(0)).count() == 0
+    first = [r.id for r in ordered(df, 10).where("job_id = 'j' and page = 1").orderBy("position").collect()]
+    assert first == [r.id for r in page_of(df, "j", 14, 10).collect()]
+    assert sorted(tuple(r) for r in store.QUERIES["ordered_units"](spark, SMALL).collect()) == sorted(duck(store.SQL["ordered_units"]))
