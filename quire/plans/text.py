@@ -66,7 +66,7 @@ def _scalars(spark, folder):
     c = F.col("text")
     return spread(table(spark, folder, "documents").select("doc_id", "text", "title", "n_chars", "section_no", "created_at")).select(
         "doc_id", T.content_hash(c).alias("content_hash"), F.length(T.squeezed(c)).alias("squeezed_chars"), F.size(T.words(F.coalesce(c, F.lit("")))).alias("words"),
-        T.truncated(c, 100).alias("short"), F.length(T.strip_markup(c)).alias("plain_chars"), T.escape_markup(F.substring(c, 1, 200)).alias("escaped"),
+        T.truncated(c, 100).alias("short"), F.length(T.strip_markup(c)).alias("plain_chars"), T.escape_markup(c).alias("escaped"),
         T.turkish_fold(F.col("title")).alias("folded_title"), T.target_stem(F.col("title")).alias("stem"), T.to_superscript(F.col("n_chars").cast("string")).alias("raised"),
         T.occurrences(c, "**").alias("bold"), T.timestamp_text(F.col("created_at")).alias("created"), T.block_name(F.col("section_no"), F.col("section_no") + 1).alias("block"),
         T.figure_file(F.col("doc_id")).alias("figure"),

@@ -5,7 +5,7 @@ from datetime import datetime
 import duckdb
 
 from quire.operators.store import ordered, page_of
-from quire.plans import glossary, store
+from quire.plans import glossary, store, text
 
 AT = datetime(2025, 1, 1)
 SMALL = "/root/testdata/sf0.001"
@@ -52,3 +52,13 @@ def test_ordered_units_are_all_units(spark):
     first = [r.id for r in ordered(df, 10).where("job_id = 'j' and page = 1").orderBy("position").collect()]
     assert first == [r.id for r in page_of(df, "j", 14, 10).collect()]
     assert sorted(tuple(r) for r in store.QUERIES["ordered_units"](spark, SMALL).collect()) == sorted(duck(store.SQL["ordered_units"]))
+
+
+def test_the_whole_text_is_escaped(spark, tmp_path):
+    long = "x" * 300 + "a < b & c > d"
+    write(spark, tmp_path, "documents", [(1, long, "t", 1, 1, AT)], "doc_id long, text string, title string, n_chars int, section_no int, created_at timestamp")
+    assert text._scalars(spark, str(tmp_path)).first().escaped == "x" * 300 + "a &lt; b &amp; c &gt; d"
+    whole = text.SQL["text_scalars"].replace("left(text, 200)", "text")
+    names = ("doc_id", "content_hash", "escaped")
+    want = duck(f"SELECT {', '.join(names)} FROM ({whole})")
+    assert sorted(map(tuple, text._scalars(spark, SMALL).select(*names).collect())) == sorted(want)
