@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import queue
+from quire.operators import queue, store
 from quire.sources import tables
 from quire.streaming import queue as stream
 from quire.session import table
@@ -39,6 +39,13 @@ def _ranges(spark, folder):
     return j.select("id", F.size(tables.page_ranges(F.col("text"))).alias("pages"))
 
 
+def _unit_translation(spark, folder):
+    """The texts of all units through a provider, batch by batch."""
+    units = store.records(table(spark, folder, "chunks").select("id", "source_text", "updated_at"))
+    got = tables.translate(units, "id", "source_text")
+    return got.select("id", F.length("translated_text").alias("chars"), F.sha2("translated_text", 256).alias("hash"))
+
+
 QUERIES = {
     "replayed_units": lambda s, d: queue.replay(_log(s, d), "user_id", ["ts", "event_id"], "event"),
     "limiter_permits": lambda s, d: queue.permits(_pools(s, d), "pool", ["event_id"], 8),
@@ -49,6 +56,7 @@ QUERIES = {
     "event_sessions": lambda s, d: stream.session_counts(_log(s, d), "ts", "user_id"),
     "page_range_sizes": _ranges,
     "fake_translation": lambda s, d: tables.translate(table(s, d, "lexicon"), "word_id", "en"),
+    "fake_unit_translation": _unit_translation,
 }
 
 SQL = {
@@ -63,4 +71,6 @@ SQL = {
  SELECT user_id, min(ts)::TIMESTAMPTZ AS session_start, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMPTZ AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",
     "page_range_sizes": "SELECT id, CASE WHEN chunk_min_chars IS NULL THEN NULL ELSE 1 + chunk_max_chars - chunk_min_chars + 1 END::INT AS pages FROM jobs",
     "fake_translation": "SELECT word_id, upper(en) AS translated_text FROM lexicon",
+    "fake_unit_translation": """WITH u AS (SELECT id, source_text, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS k FROM chunks WHERE id IS NOT NULL)
+ SELECT id, length(upper(source_text))::INT AS chars, sha256(upper(source_text)) AS hash FROM u WHERE k = 1""",
 }

@@ -5,7 +5,7 @@ from datetime import datetime
 import duckdb
 
 from quire.operators.store import ordered, page_of
-from quire.plans import glossary, store, text
+from quire.plans import glossary, queue, store, text
 
 AT = datetime(2025, 1, 1)
 SMALL = "/root/testdata/sf0.001"
@@ -62,3 +62,11 @@ def test_the_whole_text_is_escaped(spark, tmp_path):
     names = ("doc_id", "content_hash", "escaped")
     want = duck(f"SELECT {', '.join(names)} FROM ({whole})")
     assert sorted(map(tuple, text._scalars(spark, SMALL).select(*names).collect())) == sorted(want)
+
+
+def test_the_texts_of_all_units_are_translated(spark, tmp_path):
+    rows = [(i, "word " * 400, AT) for i in range(120)] + [(200, "y" * 12_000, AT), (201, None, AT), (202, "", AT), (202, "late", datetime(2026, 1, 1))]
+    write(spark, tmp_path, "chunks", rows, "id long, source_text string, updated_at timestamp")
+    got = {r.id: r.chars for r in queue.QUERIES["fake_unit_translation"](spark, str(tmp_path)).collect()}
+    assert got == {i: 2000 for i in range(120)} | {200: 12_000, 201: None, 202: 4}
+    assert sorted(map(tuple, queue.QUERIES["fake_unit_translation"](spark, SMALL).collect())) == sorted(duck(queue.SQL["fake_unit_translation"]))
