@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow lookup side may be broadcast; beyond it the join is salted.
@@ -40,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table written to the shared checkpoint folder: compressed, and read by column."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, where a scan gives fewer (few or unsplit files).
 
@@ -79,13 +89,12 @@ def lookup_join(
 def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row a key: the one greatest by ``order`` (nulls lowest), the rest of its columns breaking ties.
 
-    An aggregate, not a window: copies are combined before the shuffle, so a key delivered very
-    often never gathers in one task. Null keys are no records and are dropped.
+    A ranked window whose limit also works before the shuffle, so of a key delivered very often each
+    task hands on one row. Null keys are no records and are dropped.
     """
-    names = df.columns
-    rest = [F.col(c) for c in names if c != key and dict(df.dtypes)[c].split("<")[0] != "map"]
-    best = F.max_by(F.struct(*names), F.struct(*order, *rest)).alias("_r")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select("_r.*")
+    rest = [F.col(c) for c, kind in df.dtypes if c != key and not kind.startswith("map")]
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*(c.desc_nulls_last() for c in (*order, *rest))))
+    return df.where(F.col(key).isNotNull()).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
