@@ -1,56 +1,71 @@
 """Sentence alignment in bilingual documents (problem 3).
 
 Shared numbers, names and cognates that stand once on either side are anchors; the longest chain of
-anchors that runs forward on both sides is kept. Between neighbouring anchors a local dynamic program
-over small beads (1-1, 1-2, 2-1, 2-2, omissions) aligns the gap. Its pairs, then all others by strength,
-are confirmed by the words they explain: a translation table learned from the corpus itself, and the
-anchors' tokens. A word explains one pair only, so joined, divided and moved sentences are found by
-what is left, and chance matches are left with nothing.
-
-The table is a model trained on a bounded sample of groups (TRAIN_ROWS of least key hash), starting from
-anchors and the given lexicon. Matching words is done for thousands of groups at once in numpy.
+anchors that runs forward on both sides (longest increasing subsequence) is kept. Between neighbouring
+anchors a local dynamic program takes the strongest forward path over pairs of sentences, in which a
+sentence may stand in several pairs (joined, divided) or in none (omitted). The pairs of chain and
+program are confirmed by the words they explain, each word explaining one pair. What they leave out is
+chained again, apart from them, until nothing is found: those are the moved sentences.
+
+How strong a pair is comes from a table of translations. It is counted over all groups: the sentences
+that the chain of anchors pairs, and those that stand alone between two of them or alone in a group,
+give counts of words that occur together, combined in each task and summed by word. The lexicon counts
+as a few sightings of its renderings, so with little data it carries the table and with much it doesn't.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.sentences import sentences
-
-#: Groups the translation table is learned from at most, and the length up to which one is used for it.
-TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
-#: Rounds of learning, least count, least share and least lift of a translation, and translations a word has.
-ROUNDS, LEAST_COUNT, LEAST_SHARE, LEAST_LIFT, MOST = 2, 3, 0.12, 4.0, 4
-#: What a pair must explain: words (by weight), and share of the lighter sentence; less where the chain or the gap agrees.
+from quire.session import cut, lookup_join
+
+#: Sightings a rendering of the lexicon counts as, and what one of the corpus must have: sightings, share and lift.
+SEEN, LEAST_COUNT, LEAST_SHARE, LEAST_LIFT = 3.0, 3, 0.12, 4.0
+#: Translations that are kept of a word.
+MOST = 4
+#: What a pair must explain: words (by weight), and share of the lighter sentence; less where the program agrees. On the
+#: chain of anchors, and alone in a gap between them, the share is enough.
 FREE, AGREED = (0.9, 0.35), (0.8, 0.33)
 #: A pair that explains this much needs a smaller share, as either sentence may hold more clauses.
 PLENTY, PLENTY_SHARE = 1.15, 0.25
-#: Strength from which two sentences that are each other's best divide a gap.
-CLEAR = 1.0
-#: Pairs of sentences from which translations are learned; with fewer the lexicon stays alone.
-LEAST_PAIRS = 150
+#: What a pair on the chain of anchors gains, and what it costs if a sentence stands in one more pair.
+ON_CHAIN, AGAIN = 1.0, 0.25
 #: Groups handled at once.
 BLOCK = 1500
+#: Translations up to which the table is sent to the tasks; beyond it, words are joined with it.
+TABLE_ROWS = 500_000
+#: Pairs of words a task holds before it hands them on, and those of one pair of sentences from which it teaches nothing.
+HELD_PAIRS, TEACHES = 4_000_000, 250_000
+#: Rows that share their part of a table too large to be sent.
+SHARED_ROWS = 20_000
 
 _note = re.compile(r"^\s*\[\^[^\]\s]*\]:")
 _token = re.compile(r"[^\W\d_]+|\d[\d.,]*|\n")
-_unseen = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_whole = re.compile(r"[^\W_]+(?:[.,]\d+)*")
+_unseen = re.compile("[­​-‏⁠﻿]")
+
+
+def _folded(text: str) -> list[str]:
+    # A dotless or a dotted i counts as i on both sides, so that names stay equal.
+    return _token.findall(_unseen.sub("", text).replace("İ", "i").lower().replace("ı", "i"))
+
+
+def _plain(token: str) -> str:
+    return token.replace(".", "").replace(",", "") if token[0] in "0123456789" else token
 
 
 def tokens(text: str) -> list[str]:
     """Folded words and numbers (digits only, so that separators don't matter); line feeds stay."""
-    # A dotless or a dotted i counts as i on both sides, so that names stay equal.
-    folded = _unseen.sub("", text).replace("İ", "i").lower().replace("ı", "i")
-    return [t.replace(".", "").replace(",", "") if t[0] in "0123456789" else t for t in _token.findall(folded)]
+    return [_plain(t) for t in _folded(text)]
 
 
 @dataclass
@@ -64,15 +79,9 @@ class Table:
     weight: dict[str, float] = field(default_factory=dict)
     plain: set[str] = field(default_factory=set)
 
-    def frame(self) -> pd.DataFrame:
-        """As rows (kind, a, b, c)."""
-        rows = [("t", w, e, c) for w, row in self.entries.items() for e, c in row]
-        rows += [("w", w, "", c) for w, c in self.weight.items()] + [("p", w, "", 0.0) for w in self.plain]
-        return pd.DataFrame(rows, columns=["kind", "a", "b", "c"])
-
     @staticmethod
     def of_rows(rows: list) -> Table:
-        """From rows as ``frame`` gives them."""
+        """From rows (kind, a, b, c): translations t, weights w and plain words p."""
         out = Table()
         for kind, a, b, c in rows:
             if kind == "t":
@@ -83,19 +92,6 @@ class Table:
                 out.plain.add(a)
         return out
 
-    @staticmethod
-    def seeded(lexicon: list[tuple[str | None, str | None]]) -> Table:
-        """From word lists: one-word renderings as they stand, by their first letters too."""
-        table = Table()
-        for source, target in lexicon:
-            s, t = tokens(source or ""), tokens(target or "")
-            for word in s:
-                table.weight.setdefault(word, 0.5)
-            for word in t:
-                for from_word in s:
-                    table.entries.setdefault(word, []).append((from_word, 1 / max(len(s), 1)))
-        return table
-
 
 @dataclass
 class Block:
@@ -107,59 +103,73 @@ class Block:
     right: np.ndarray
     cut: np.ndarray
     score: np.ndarray
-    word_s: list  # of each explained word: its identity in the source and in the target sentence
-    word_t: list
-    word_w: list  # what explaining it is worth, and how often it stands in either sentence
-    most_s: list
-    most_t: list
-    same: np.ndarray  # of each candidate pair: anchors it shares
+    anchor: np.ndarray  # of each candidate pair: the part of its score that anchors give
+    word_s: np.ndarray  # of each explained word: its identity in the source and in the target sentence
+    word_t: np.ndarray
+    word_w: np.ndarray  # what explaining it is worth, and how often it stands in either sentence
+    most_s: np.ndarray
+    most_t: np.ndarray
     heavy_s: np.ndarray
     heavy_t: np.ndarray
     group: np.ndarray
     n_t: np.ndarray  # of each group: distinct words in the sentences of its target
 
 
-def _side(groups: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens, the sentence of each, and the first sentence of each group."""
+def _side(groups: list[list[str]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Token ids, the token of each id, the sentence of each token, and the first sentence of each group."""
     first = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64)
     # The number of a footnote is no anchor.
-    flat = tokens("\n".join([_note.sub("", s) if "[^" in s else s for g in groups for s in g]))
-    is_end = np.array([t == "\n" for t in flat], bool)
-    of = np.cumsum(is_end)
-    keep = np.flatnonzero(~is_end)
-    return [flat[i] for i in keep.tolist()], of[keep], first
+    found = _folded("\n".join([_note.sub("", s) if "[^" in s else s for g in groups for s in g]))
+    raw, kinds = pd.factorize(np.array(found, dtype=object))
+    same, words = pd.factorize(np.array([_plain(t) for t in kinds], dtype=object))
+    ids = same[raw] if len(raw) else np.zeros(0, np.int64)
+    words = words.tolist()
+    is_end = ids == (words.index("\n") if "\n" in words else -1)
+    return ids[~is_end].astype(np.int64), words, np.cumsum(is_end)[~is_end], first
+
+
+def _once(keys: np.ndarray) -> np.ndarray:
+    values, counts = np.unique(keys, return_counts=True)
+    return values[counts == 1]
+
+
+def _spans(cut: np.ndarray) -> np.ndarray:
+    """All numbers of the slices in ``cut``, one slice after the other."""
+    size = cut[:, 1] - cut[:, 0]
+    return np.repeat(cut[:, 0] - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def match(source: list[list[str]], target: list[list[str]], table: Table, least: float = 0.3) -> Block:
-    """Candidate pairs of every group, from words that render each other."""
-    s_words, s_of, first_s = _side(source)
-    t_words, t_of, first_t = _side(target)
-    ids: dict[str, int] = {}
-    s_id = np.array([ids.setdefault(w, len(ids)) for w in s_words], np.int64)
-    n_words = len(ids) + 1
+    """Candidate pairs of every group, from words that render each other.
+
+    A pair is one if it explains ``least``, or twice that share of its lighter sentence.
+    """
+    s_id, words, s_of, first_s = _side(source)
+    t_id, t_words, t_of, first_t = _side(target)
+    ids = {w: i for i, w in enumerate(words)}
+    n_words = len(words) + 1
     top = max(table.weight.values(), default=1.0)
-    known = np.array([table.weight.get(w, -1.0) for w in ids] + [0.0])
-    number = np.array([w[0].isdigit() for w in ids] + [False])
+    known = np.array([table.weight.get(w, -1.0) for w in words] + [0.0])
+    number = np.array([w[0].isdigit() for w in words] + [False])
     weight = np.where(known >= 0, known, top)
     group_s = np.repeat(np.arange(len(source)), np.diff(first_s))
     group_t = np.repeat(np.arange(len(target)), np.diff(first_t))
     # Target words as source words: themselves, and by the table.
-    t_ids: dict[str, int] = {}
-    t_id = np.array([t_ids.setdefault(w, len(t_ids)) for w in t_words], np.int64)
     start, to, sure = [0], [], []
-    for w in t_ids:
+    for w in t_words:
         own = {ids[e]: c for e, c in table.entries.get(w, ()) if e in ids}
         if w in ids and (known[ids[w]] < 0 or len(w) > 3):
             own[ids[w]] = 1.0
         to += own.keys()
         sure += own.values()
         start.append(len(to))
-    start, to, sure = np.array(start), np.array(to, np.int64), np.array(sure)
+    start, to, sure = np.array(start), np.array(to, np.int64), np.array(sure, float)
     # One row for each word of a sentence.
+    n_t_words = len(t_words) + 1
     s_key, s_times = np.unique(s_of * n_words + s_id, return_counts=True)
     s_of, s_id = s_key // n_words, s_key % n_words
-    t_key, t_times = np.unique(t_of * (len(t_ids) + 1) + t_id, return_counts=True)
-    t_of, t_id = t_key // (len(t_ids) + 1), t_key % (len(t_ids) + 1)
+    t_key, t_times = np.unique(t_of * n_t_words + t_id, return_counts=True)
+    t_of, t_id = t_key // n_t_words, t_key % n_t_words
     count = start[t_id + 1] - start[t_id] if len(t_id) else np.zeros(0, np.int64)
     rows = np.repeat(np.arange(len(t_id)), count)
     at = start[t_id[rows]] + np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
@@ -186,12 +196,11 @@ def match(source: list[list[str]], target: list[list[str]], table: Table, least:
     edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
     total = np.add.reduceat(gain, edge) if len(edge) else np.zeros(0)
     # Anchors: unknown words and numbers that stand in one sentence of either side of the group.
-    once_s = _once(group_s[s_of] * n_words + s_id)
-    once_t = _once(wanted)
     rare = ((known[word] < 0) | number[word]) & (conf == 1.0)
     gw = group_s[left] * n_words + word if len(left) else word
-    same = rare & np.isin(gw, once_s) & np.isin(gw, once_t)
-    anchors = np.add.reduceat(same.astype(np.int64), edge) if len(edge) else np.zeros(0, np.int64)
+    same = rare.copy()
+    same[rare] = np.isin(gw[rare], _once(key)) & np.isin(gw[rare], _once(wanted))
+    anchor = np.add.reduceat(np.where(same, gain, 0.0), edge) if len(edge) else np.zeros(0)
     # The weight of a sentence: its known words, and unknown ones that stand on both sides.
     shared = np.isin(key, wanted) | (known[key % n_words] >= 0)
     heavy_s = np.bincount(j_of, np.where(shared, weight[key % n_words], 0), len(group_s))
@@ -199,21 +208,15 @@ def match(source: list[list[str]], target: list[list[str]], table: Table, least:
     np.maximum.at(best, rows, np.where(np.isin(wanted, key) | (known[x_id] >= 0), x_sure * weight[x_id], 0))
     heavy_t = np.bincount(t_of, best, len(group_t))
     ends = np.concatenate([edge, [len(pair)]])
-    keep = total >= least
-    s_ident = (left * n_words + word).tolist()
-    t_ident = (right * (len(t_ids) + 1) + t_word).tolist()
+    left_p, right_p = left[edge], right[edge]
+    keep = (total >= least) | (total >= 2 * least * np.minimum(heavy_s[left_p], heavy_t[right_p])) & (total > 0)
     return Block(
-        first_s, first_t, left[edge][keep], right[edge][keep], np.stack([ends[:-1][keep], ends[1:][keep]], 1), total[keep],
-        s_ident, t_ident, gain.tolist(), most_s.tolist(), most_t.tolist(), anchors[keep], heavy_s, heavy_t, group_s[left[edge][keep]] if len(edge) else edge,
+        first_s, first_t, left_p[keep], right_p[keep], np.stack([ends[:-1][keep], ends[1:][keep]], 1), total[keep], anchor[keep],
+        left * n_words + word, right * n_t_words + t_word, gain, most_s, most_t, heavy_s, heavy_t, group_s[left_p[keep]] if len(edge) else edge,
         np.bincount(group_t[t_of], minlength=len(target)),
     )
 
 
-def _once(keys: np.ndarray) -> np.ndarray:
-    values, counts = np.unique(keys, return_counts=True)
-    return values[counts == 1]
-
-
 def chain(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain of (source, target) that never runs backward (longest increasing subsequence)."""
     anchors = sorted(set(anchors))
@@ -236,192 +239,362 @@ def chain(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-_BEADS = ((1, 1, 0.0), (1, 0, 0.35), (0, 1, 0.35), (2, 1, 0.25), (1, 2, 0.25), (2, 2, 0.6))
-
-
-def gap(a: int, b: int, c: int, d: int, score: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """Pairs of sources a..b-1 and targets c..d-1 by a dynamic program over beads."""
-    n, m = b - a, d - c
-    if n <= 0 or m <= 0:
-        return []
-    if n == 1 and m == 1:
-        return [(a, c)] if (a, c) in score else []
-    if not any(a <= i < b and c <= j < d for i, j in score):
-        return []
-    best = [[-1e9] * (m + 1) for _ in range(n + 1)]
-    step: list[list] = [[None] * (m + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    get = score.get
-    for i in range(n + 1):
-        for j in range(m + 1):
-            here = best[i][j]
-            if here == -1e9:
-                continue
-            for u, v, cost in _BEADS:
-                if i + u > n or j + v > m:
-                    continue
-                gain = -cost
-                for x in range(u):
-                    for y in range(v):
-                        gain += get((a + i + x, c + j + y), 0.0)
-                if here + gain > best[i + u][j + v]:
-                    best[i + u][j + v] = here + gain
-                    step[i + u][j + v] = (u, v)
-    out, i, j = [], n, m
-    while i or j:
-        u, v = step[i][j]
-        out += [(a + i - u + x, c + j - v + y) for x in range(u) for y in range(v) if (a + i - u + x, c + j - v + y) in score]
-        i, j = i - u, j - v
-    return out
-
-
-def wide_gap(a: int, b: int, c: int, d: int, score: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """As ``gap``, but a large gap is first divided by a chain of pairs that are each other's best."""
-    if (b - a) * (d - c) <= 6:
-        return gap(a, b, c, d, score)
-    best_s: dict[int, tuple[float, int]] = {}
-    best_t: dict[int, tuple[float, int]] = {}
-    for (i, j), v in score.items():
-        if a <= i < b and c <= j < d:
-            if v > best_s.get(i, (0.0, 0))[0]:
-                best_s[i] = (v, j)
-            if v > best_t.get(j, (0.0, 0))[0]:
-                best_t[j] = (v, i)
-    mutual = chain([(i, j) for i, (v, j) in best_s.items() if best_t[j][1] == i and v >= CLEAR])
-    out = list(mutual)
-    for i, j in [*mutual, (b, d)]:
-        if i > a and j > c:
-            out += gap(a, i, c, j, score)
-        a, c = max(a, i + 1), max(c, j + 1)
-    return out
-
-
-def align_block(block: Block) -> Iterator[tuple[int, int, int]]:
-    """(group, source number, target number) of every pair."""
+def path(pairs: list[tuple[int, int, float]]) -> list[int]:
+    """Numbers of the pairs (source, target, strength), sorted, on the strongest forward path.
+
+    Neither side runs backward; a sentence that stands in one more pair costs AGAIN. Exact: a pair is
+    looked for among all before it, or, where there are many, in a tree of the best by target.
+    """
+    if len(pairs) < 2:
+        return list(range(len(pairs)))
+    best: list[float] = []
+    back: list[int] = []
+    if len(pairs) <= 400:
+        for k, (i, j, v) in enumerate(pairs):
+            top, b = 0.0, -1
+            for m in range(k):
+                a, c, _ = pairs[m]
+                if c <= j and (w := best[m] - (AGAIN if a == i or c == j else 0.0)) > top:
+                    top, b = w, m
+            best.append(top + v)
+            back.append(b)
+    else:
+        _paths(pairs, best, back)
+    out, k = [], max(range(len(pairs)), key=best.__getitem__)
+    while k >= 0:
+        out.append(k)
+        k = back[k]
+    return out[::-1]
+
+
+def _paths(pairs: list[tuple[int, int, float]], best: list[float], back: list[int]) -> None:
+    """``path`` for many pairs: a tree of prefix maxima by target, filled one source after the other."""
+    places = {j: p for p, j in enumerate(sorted({j for _, j, _ in pairs}), 1)}
+    tree: list[tuple[float, int]] = [(0.0, -1)] * (len(places) + 1)
+    column: dict[int, tuple[float, int]] = {}  # the best that ends at a target
+    row: list[tuple[int, float, int]] = []  # of the source at hand: target, best, number; best grows
+    for k, (i, j, v) in enumerate(pairs):
+        if k and pairs[k - 1][0] != i:
+            for _, w, m in row:
+                c = pairs[m][1]
+                column[c] = max(column.get(c, (0.0, -1)), (w, m))
+                p = places[c]
+                while p < len(tree):
+                    tree[p] = max(tree[p], (w, m))
+                    p += p & -p
+            row = []
+        top, p = (0.0, -1), places[j] - 1
+        while p:
+            top = max(top, tree[p])
+            p -= p & -p
+        w, m = column.get(j, (0.0, -1))
+        top = max(top, (w - AGAIN, m)) if m >= 0 else top
+        if row:
+            top = max(top, max((w - AGAIN, m) for _, w, m in row[-1:]))
+        best.append(top[0] + v)
+        back.append(top[1])
+        row.append((j, best[-1], k) if not row or best[-1] > row[-1][1] else (j, row[-1][1], row[-1][2]))
+
+
+def align_block(block: Block, use_chain: bool = True, use_program: bool = True, moved: bool = True) -> Iterator[tuple[int, int, int]]:
+    """(group, source number, target number) of every pair.
+
+    The switches leave out a step, to see what it decides.
+    """
     groups = len(block.first_s) - 1
-    bounds = np.searchsorted(block.group, np.arange(groups + 1))
+    light = np.minimum(block.heavy_s[block.left], block.heavy_t[block.right])
+    alone = block.score >= AGREED[1] * light
+    kept = np.flatnonzero(alone | (block.score >= PLENTY) & (block.score >= PLENTY_SHARE * light))
+    words = _spans(block.cut[kept])
+    size = block.cut[kept, 1] - block.cut[kept, 0]
+    ends = np.cumsum(size).tolist()
+    begins = [0, *ends[:-1]]
+    word_s, word_t, word_w = block.word_s[words].tolist(), block.word_t[words].tolist(), block.word_w[words].tolist()
+    most_s, most_t = block.most_s[words].tolist(), block.most_t[words].tolist()
+    left, right, score = block.left[kept].tolist(), block.right[kept].tolist(), block.score[kept].tolist()
+    anchor, lighter = block.anchor[kept].tolist(), light[kept].tolist()
+    bounds = np.searchsorted(block.group[kept], np.arange(groups + 1)).tolist()
     low_s, low_t = block.first_s.tolist(), block.first_t.tolist()
-    left, right, score, same = block.left.tolist(), block.right.tolist(), block.score.tolist(), block.same.tolist()
-    word_s, word_t, word_w, most_s, most_t = block.word_s, block.word_t, block.word_w, block.most_s, block.most_t
-    cut, heavy_s, heavy_t = block.cut.tolist(), block.heavy_s.tolist(), block.heavy_t.tolist()
-    for g, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+    for g in range(groups):
+        x, y = bounds[g], bounds[g + 1]
         if x == y:
             continue
-        at = {(left[k], right[k]): k for k in range(x, y)}
-        strong = {p: score[k] for p, k in at.items()}
-        fixed = chain([(left[k], right[k]) for k in range(x, y) if same[k]])
-        agreed = list(fixed)
-        a, c = low_s[g], low_t[g]
-        for i, j in [*fixed, (low_s[g + 1], low_t[g + 1])]:
-            if i > a and j > c:
-                agreed += wide_gap(a, i, c, j, strong)
-            a, c = max(a, i + 1), max(c, j + 1)
-        inner = set(agreed)
-        ranked = sorted([(-score[k] - (0.8 if p in inner else 0.0), p, k) for p, k in at.items()])
         used_s: dict[int, int] = {}
         used_t: dict[int, int] = {}
-        for _, p, k in ranked:
-            words, share = AGREED if p in inner else FREE
-            if score[k] < words:
-                continue
-            rest, mine = 0.0, []
-            for w in range(*cut[k]):
-                if used_s.get(word_s[w], 0) < most_s[w] and used_t.get(word_t[w], 0) < most_t[w]:
-                    rest += word_w[w]
-                    mine.append(w)
-            if rest >= words and rest >= (PLENTY_SHARE if rest >= PLENTY else share) * min(heavy_s[p[0]], heavy_t[p[1]]):
-                for w in mine:
-                    used_s[word_s[w]] = used_s.get(word_s[w], 0) + 1
-                    used_t[word_t[w]] = used_t.get(word_t[w], 0) + 1
-                yield g, p[0] - low_s[g], p[1] - low_t[g]
-
-
-def learn(source: list[list[str]], target: list[list[str]], lexicon: list[tuple[str | None, str | None]]) -> Table:
-    """A translation table from groups of sentences, begun with anchors and the lexicon."""
-    table = Table.seeded(lexicon)
-    s_sets = [[set(tokens(s)) for s in g] for g in source]
-    t_sets = [[set(tokens(t)) for t in g] for g in target]
-    total = sum(len(g) for g in s_sets)
-    spread = Counter(w for g in s_sets for s in g for w in s)
-    for _ in range(ROUNDS):
-        block = match(source, target, table)
-        best_s: dict[int, tuple[float, int]] = {}
-        best_t: dict[int, tuple[float, int]] = {}
-        for i, j, v in zip(block.left.tolist(), block.right.tolist(), block.score.tolist()):
-            best_s[i] = max(best_s.get(i, (0.0, -1)), (v, j))
-            best_t[j] = max(best_t.get(j, (0.0, -1)), (v, i))
-        low_s, low_t = block.first_s, block.first_t
-        group_of = np.repeat(np.arange(len(source)), np.diff(low_s)).tolist()
-        n_s: Counter = Counter()
-        n_t: Counter = Counter()
-        both: dict[str, Counter] = defaultdict(Counter)
-        n = 0
-        for i, (v, j) in best_s.items():
-            if best_t[j][1] != i or v < 0.9:
-                continue
-            g = group_of[i]
-            s, t = s_sets[g][i - low_s[g]], t_sets[g][j - low_t[g]]
-            n += 1
-            n_s.update(s)
-            n_t.update(t)
-            for w in t:
-                both[w].update(s)
-        if n < LEAST_PAIRS:
-            return Table.seeded(lexicon)
-        entries: dict[str, list[tuple[str, float]]] = {}
-        for w, counts in both.items():
-            if n_t[w] < LEAST_COUNT:
-                continue
-            good = [(c / n_t[w], e) for e, c in counts.items() if c >= LEAST_COUNT and c / n_t[w] >= LEAST_SHARE and c * n >= LEAST_LIFT * n_s[e] * n_t[w]]
-            if good:
-                entries[w] = [(e, p) for p, e in sorted(good, reverse=True)[:MOST]]
-        top = np.log1p(total)
-        rendered = {e for row in entries.values() for e, _ in row}
-        table = Table(entries, {w: float(np.log((total + 1) / c) / top) if w in rendered else 0.0 for w, c in spread.items() if c >= LEAST_COUNT})
-    return table
-
-
-def _joined(groups: DataFrame) -> DataFrame:
-    return groups.where("parity_check and size(translated) > 0").select(
-        "group_id", F.concat_ws("", "source").alias("s"), F.concat_ws("", "translated").alias("t")
-    )
+        taken: set[int] = set()
+
+        def confirm(chosen: list[tuple[float, int, float, float]]) -> bool:
+            """Take those (strength, pair, words and share asked) that still explain enough, the strongest first."""
+            some = False
+            for _, k, least, share in sorted(chosen, reverse=True):
+                rest, mine = 0.0, []
+                for w in range(begins[k], ends[k]):
+                    if used_s.get(word_s[w], 0) < most_s[w] and used_t.get(word_t[w], 0) < most_t[w]:
+                        rest += word_w[w]
+                        mine.append(w)
+                if rest > 0 and rest >= least and rest >= (PLENTY_SHARE if rest >= PLENTY else share) * lighter[k]:
+                    for w in mine:
+                        used_s[word_s[w]] = used_s.get(word_s[w], 0) + 1
+                        used_t[word_t[w]] = used_t.get(word_t[w], 0) + 1
+                    taken.add(k)
+                    some = True
+            return some
+
+        fixed = chain([(left[k], right[k]) for k in range(x, y) if anchor[k] > 0]) if use_chain else []
+        on = set(fixed)
+        strong, order = {}, sorted(range(x, y), key=lambda k: (left[k], right[k]))
+        for k in order:
+            here = (left[k], right[k]) in on
+            strong[k] = score[k] + ON_CHAIN if here else score[k] - anchor[k]
+        chosen: dict[int, tuple[float, int, float, float]] = {k: (strong[k], k, 0.0, AGREED[1]) for k in order if (left[k], right[k]) in on}
+        if use_program:
+            a, c = low_s[g] - 1, low_t[g] - 1
+            at = 0
+            for i, j in [*fixed, (low_s[g + 1], low_t[g + 1])]:
+                # A gap with the anchors at its ends, as a sentence there may be joined with one inside.
+                while at < len(order) and left[order[at]] < a:
+                    at += 1
+                inside, m = [], at
+                lone = i - a == 2 and j - c == 2
+                while m < len(order) and left[order[m]] <= i:
+                    k = order[m]
+                    if c <= right[k] <= j and (strong[k] >= AGREED[0] or lone and a < left[k] < i and c < right[k] < j):
+                        inside.append(k)
+                    m += 1
+                for p in path([(left[k], right[k], strong[k]) for k in inside]):
+                    k = inside[p]
+                    if k not in chosen:
+                        chosen[k] = (strong[k], k, 0.0 if lone and strong[k] < AGREED[0] else AGREED[0], AGREED[1])
+                a, c = i, j
+        confirm(list(chosen.values()))
+        if use_program and moved:
+            left_over = [k for k in order if k not in taken and score[k] >= FREE[0]]
+            while left_over:
+                on_path = [left_over[p] for p in path([(left[k], right[k], score[k]) for k in left_over])]
+                confirm([(score[k], k, *FREE) for k in on_path])
+                gone = set(on_path)
+                left_over = [k for k in left_over if k not in gone]
+        for k in sorted(taken):
+            yield g, left[k] - low_s[g], right[k] - low_t[g]
+
+
+def sure_pairs(source: list[list[str]], target: list[list[str]], s: tuple, t: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sentences known without a table: on the chain of anchors, or alone between two of them or in a group."""
+    s_id, s_words, s_of, first_s = s
+    t_id, t_words, t_of, first_t = t
+    ids = {w: i for i, w in enumerate(s_words) if w[0].isdigit() or len(w) > 3}
+    to = np.array([ids.get(w, -1) for w in t_words] + [-1], np.int64)[t_id] if len(t_id) else t_id
+    group_s, group_t = np.repeat(np.arange(len(source)), np.diff(first_s)), np.repeat(np.arange(len(target)), np.diff(first_t))
+    n = len(s_words) + 1
+    places = []
+    for of, word, group in ((s_of, s_id, group_s), (t_of[to >= 0], to[to >= 0], group_t)):
+        pair = np.unique(of * n + word)
+        of, word = pair // n, pair % n
+        key, at, count = np.unique(group[of] * n + word, return_index=True, return_counts=True)
+        places.append((key[count == 1], of[at[count == 1]]))
+    _, a, b = np.intersect1d(places[0][0], places[1][0], assume_unique=True, return_indices=True)
+    anchors: dict[int, list[tuple[int, int]]] = {}
+    for i, j, g in zip(places[0][1][a].tolist(), places[1][1][b].tolist(), group_s[places[0][1][a]].tolist()):
+        anchors.setdefault(g, []).append((i, j))
+    low_s, low_t = first_s.tolist(), first_t.tolist()
+    out: list[tuple[int, int]] = []
+    for g in range(len(source)):
+        fixed = chain(anchors[g]) if g in anchors else []
+        out += fixed
+        i0, j0 = low_s[g] - 1, low_t[g] - 1
+        for i, j in [*fixed, (low_s[g + 1], low_t[g + 1])]:
+            if i - i0 == 2 and j - j0 == 2:
+                out.append((i - 1, j - 1))
+            i0, j0 = i, j
+    got = np.array(out, np.int64).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
+
+
+class Counts:
+    """Counts of words and of pairs of words, of one task."""
+
+    def __init__(self) -> None:
+        self.ids: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.words: dict[str, dict[str, int]] = {"s": {}, "t": {}, "f": {}, "p": {}}
+        self.n = 0
+        self.sentences = 0
+
+    def _add(self, kind: str, words: list[str], ids: np.ndarray) -> None:
+        count = np.bincount(ids, minlength=len(words)) if len(ids) else np.zeros(0, np.int64)
+        to = self.words[kind]
+        for i in np.flatnonzero(count).tolist():
+            to[words[i]] = to.get(words[i], 0) + int(count[i])
+
+    def add(self, source: list[list[str]], target: list[list[str]]) -> None:
+        """The groups of a block: sentences of either side."""
+        s, t = _side(source), _side(target)
+        left, right = sure_pairs(source, target, s, t)
+        self.sentences += sum(len(g) for g in source)
+        sides = []
+        for side, (ids, words, of, first), picked in (("s", s, left), ("t", t, right)):
+            key = np.unique(of * (len(words) + 1) + ids)
+            of, ids = key // (len(words) + 1), key % (len(words) + 1)
+            start = np.searchsorted(of, np.arange(first[-1] + 1))
+            if side == "s":
+                self._add("f", words, ids)
+            size = np.diff(start)[picked] if len(picked) else np.zeros(0, np.int64)
+            sides.append((ids, words, start[picked] if len(picked) else size, size))
+        fit = sides[0][3] * sides[1][3] <= TEACHES
+        (s_ids, s_words, s_at, s_n), (t_ids, t_words, t_at, t_n) = [(ids, words, at[fit], n[fit]) for ids, words, at, n in sides]
+        self.n += len(s_n)
+        for kind, ids, words, at, n in (("s", s_ids, s_words, s_at, s_n), ("t", t_ids, t_words, t_at, t_n)):
+            self._add(kind, words, ids[_spans(np.stack([at, at + n], 1))] if len(n) else ids[:0])
+        size = s_n * t_n
+        pair = np.repeat(np.arange(len(size)), size)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+        to_s, to_t = (np.array([mine.setdefault(w, len(mine)) for w in words] + [0], np.int64) for mine, words in zip(self.ids, (s_words, t_words)))
+        width = np.maximum(t_n, 1)[pair]
+        key = (to_s[s_ids[s_at[pair] + k // width]] << 32) | to_t[t_ids[t_at[pair] + k % width]] if len(pair) else k
+        if len(key):
+            self.pairs.append(np.unique(key, return_counts=True))
+            self.held += len(self.pairs[-1][0])
+
+    def rows(self, everything: bool = True) -> pd.DataFrame:
+        """What was counted, as rows (kind, a, b, n), and a new start."""
+        out = []
+        if self.pairs:
+            key, at = np.unique(np.concatenate([k for k, _ in self.pairs]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in self.pairs])).astype(np.int64)
+            s, t = (np.array(list(mine), dtype=object) for mine in self.ids)
+            out.append(pd.DataFrame({"kind": "b", "a": s[key >> 32], "b": t[key & 0xFFFFFFFF], "n": n}))
+        self.pairs, self.held, self.ids = [], 0, ({}, {})
+        if everything:
+            out += [pd.DataFrame({"kind": kind, "a": list(of), "b": "", "n": list(of.values())}) for kind, of in self.words.items() if of]
+            out.append(pd.DataFrame({"kind": ["n", "m"], "a": ["", ""], "b": ["", ""], "n": [self.n, self.sentences]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"kind": [], "a": [], "b": [], "n": []})
+
+
+def word_counts(rows: DataFrame, clean: Callable[[str, str], tuple[str, str] | None] | None = None, lower: bool = False) -> DataFrame:
+    """``kind``, ``a``, ``b``, ``n`` summed over all ``rows`` (s, t): pairs of words b, source and target words of
+    paired sentences s and t, sentences that hold a source word f, the numbers of paired sentences n and of
+    all source sentences m.
+
+    ``clean`` gives the texts to learn from, or None for a row that teaches nothing. With ``lower`` also p,
+    the words that all sources, taught from or not, write in lower case.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counts()
+        for pdf in batches:
+            for start in range(0, len(pdf), BLOCK):
+                texts = list(zip(pdf["s"].iloc[start : start + BLOCK], pdf["t"].iloc[start : start + BLOCK]))
+                if lower:
+                    found, kinds = pd.factorize(np.array(_whole.findall("\n".join([s for s, _ in texts])), dtype=object))
+                    small = np.array([w[0].islower() for w in kinds] + [False])
+                    counts._add("p", kinds.tolist(), found[small[found]])
+                if clean:
+                    texts = [c for s, t in texts if (c := clean(s, t))]
+                counts.add([sentences(s) for s, _ in texts], [sentences(t) for _, t in texts])
+                if counts.held > HELD_PAIRS:
+                    yield counts.rows(False)
+        yield counts.rows()
+
+    return rows.mapInPandas(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def learned(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The table as rows (kind, a, b, c), from ``word_counts`` and a lexicon (en, tr); see ``Table.of_rows``."""
+    counts = cut(counts.where(f"kind <> 'b' or n >= {LEAST_COUNT}"))
+    of = {k: counts.where(F.col("kind") == k) for k in "bstfp"}
+
+    @F.pandas_udf("array<string>")
+    def words(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: sorted(set(tokens(x or "")) - {"\n"}))
+
+    given = lexicon.select(words("en").alias("e"), words("tr").alias("w")).where("size(e) > 0 and size(w) > 0")
+    given = given.select(F.explode("w").alias("b"), "e", (SEEN / F.size("e")).alias("given")).select("b", F.explode("e").alias("a"), "given")
+    given = given.groupBy("a", "b").agg(F.least(F.sum("given"), F.lit(SEEN)).alias("given"))
+    sizes = {r["kind"]: r["n"] for r in counts.where("kind in ('n', 'm')").collect()}
+    n_all, sentences_all = F.lit(float(sizes.get("n", 0))), float(sizes.get("m", 0))
+    sums = (
+        of["b"].select("a", "b", F.col("n").alias("c")).join(given, ["a", "b"], "full")
+        .join(of["t"].select(F.col("a").alias("b"), F.col("n").alias("n_t")), "b", "left")
+        .join(of["s"].select("a", F.col("n").alias("n_s")), "a", "left")
+        .join(given.select("b").distinct().withColumn("n_given", F.lit(SEEN)), "b", "left")
+        .na.fill(0)
+    )
+    lift = F.col("c") * n_all >= LEAST_LIFT * F.col("n_s") * F.col("n_t")
+    sure = (F.col("c") + F.col("given")) / (F.col("n_t") + F.col("n_given"))
+    good = sums.withColumn("sure", sure).where((F.col("sure") >= LEAST_SHARE) & ((F.col("given") > 0) | (F.col("c") >= LEAST_COUNT) & (F.col("c") >= LEAST_SHARE * F.col("n_t")) & lift))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sure"), F.desc("a")))
+    entries = good.withColumn("best", best).where(F.col("best") <= MOST)
+    rendered = entries.select("a").distinct().withColumn("rendered", F.lit(True))
+    seen = of["f"].select("a", F.col("n").alias("f")).join(rendered, "a", "full")
+    # Rare words weigh most; a word that renders nothing weighs nothing, one of the lexicon alone half.
+    weigh = F.log((sentences_all + 1) / F.col("f")) / float(np.log1p(max(1.0, sentences_all)))
+    weight = F.when(F.col("rendered"), F.coalesce(weigh, F.lit(0.5))).otherwise(0.0)
+    weights = seen.where(f"rendered or f >= {LEAST_COUNT}").select(F.lit("w").alias("kind"), "a", F.lit("").alias("b"), weight.alias("c"))
+    plain = of["p"].where("n > 1").select(F.lit("p").alias("kind"), "a", F.lit("").alias("b"), F.lit(0.0).alias("c"))
+    return entries.select(F.lit("t").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), F.col("sure").alias("c")).unionByName(weights).unionByName(plain)
+
+
+def train(rows: DataFrame, lexicon: DataFrame, clean: Callable | None = None, lower: bool = False, most: int = TABLE_ROWS) -> Table | DataFrame:
+    """The table learned from all ``rows`` (s, t): a Table where it has at most ``most`` rows, else the rows themselves."""
+    table = learned(word_counts(rows, clean, lower), lexicon)
+    got = table.limit(most + 1).collect()
+    return Table.of_rows([tuple(r) for r in got]) if len(got) <= most else cut(table)
+
+
+def with_table(rows: DataFrame, table: Table | DataFrame, run: Callable[[pd.DataFrame, Table], pd.DataFrame], schema: str, texts: tuple[str, str]) -> DataFrame:
+    """``run`` over ``rows`` in blocks, with the table or the part of it that the words of a block need.
+
+    A Table goes to the tasks as it is. One that is too large is joined with the distinct words of
+    shares of some SHARED_ROWS rows; a word of very many shares is spread by the salts of ``lookup_join``.
+    """
+    if isinstance(table, Table):
 
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for start in range(0, len(pdf), BLOCK):
+                    yield run(pdf.iloc[start : start + BLOCK], table)
 
-def train(groups: DataFrame, lexicon: DataFrame, rows: int = TRAIN_ROWS) -> Table:
-    """Learn the table from at most ``rows`` groups; one task does it, and only the table comes back.
+        return rows.mapInPandas(each, schema)
+    shares = max(1, -(-rows.count() // SHARED_ROWS))
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.lit(shares)).cast("int"))
 
-    The lexicon is a word list of fixed size; at most 20000 of its rows are read.
-    """
-    pairs = [(r[0], r[1]) for r in lexicon.select("en", "tr").orderBy("word_id").limit(20_000).collect()]
-    hashes = groups.where("parity_check and size(translated) > 0").select(F.xxhash64("group_id").alias("h"))
-    last = hashes.orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if last is None:
-        return Table.seeded(pairs)
-    sample = _joined(groups.where(F.xxhash64("group_id") <= last)).where(f"length(s) <= {TRAIN_CHARS} and length(t) <= {TRAIN_CHARS}").limit(rows)
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(n, w) for n, *row in pdf.itertuples(index=False) for w in {w for x in row if x for w in (*tokens(x), *_whole.findall(x))}]
+            yield pd.DataFrame(found, columns=["_share", "a"]).drop_duplicates()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([pd.DataFrame({"group_id": [], "s": [], "t": []}), *batches]).sort_values("group_id", kind="stable")
-        yield learn([sentences(x) for x in frame["s"]], [sentences(x) for x in frame["t"]], pairs).frame()
+    used = rows.select("_share", *texts).mapInPandas(words, "_share int, a string").distinct()
+    entries = table.groupBy("a").agg(F.collect_list(F.struct("kind", "b", "c")).alias("e"))
+    needed = lookup_join(used, entries, "a", "inner").select("_share", "a", F.explode("e").alias("e")).select("_share", "e.kind", "a", "e.b", "e.c")
+
+    def both(pdf: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        mine = Table.of_rows(list(part[["kind", "a", "b", "c"]].itertuples(index=False, name=None)))
+        done = [run(pdf.iloc[start : start + BLOCK], mine) for start in range(0, len(pdf), BLOCK)]
+        return pd.concat(done, ignore_index=True) if done else run(pdf, mine)
+
+    return rows.groupBy("_share").cogroup(needed.groupBy("_share")).applyInPandas(both, schema)
 
-    return Table.of_rows(sample.coalesce(1).mapInPandas(run, "kind string, a string, b string, c double").collect())
+
+def texts_of(groups: DataFrame) -> DataFrame:
+    """``group_id`` and the joined sides ``s`` and ``t`` of the groups that are to be aligned."""
+    return groups.where("parity_check and size(translated) > 0").select(
+        "group_id", F.concat_ws("", "source").alias("s"), F.concat_ws("", "translated").alias("t")
+    )
 
 
-def align_groups(groups: DataFrame, table: Table) -> DataFrame:
+def align_groups(groups: DataFrame, table: Table | DataFrame, **steps: bool) -> DataFrame:
     """``group_id``, ``source_no``, ``translated_no``: the sentences that render each other.
 
     Of groups whose parity_check is true (null counts as false) and whose ``translated`` isn't empty;
     null members of the lists are left out. Groups are aligned one by one, so repeated rows give
-    repeated pairs and nothing is shuffled.
+    repeated pairs and nothing is shuffled (but words, where the table is too large to be sent).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[start : start + BLOCK]
-                keys = part["group_id"].to_numpy()
-                block = match([sentences(x) for x in part["s"]], [sentences(x) for x in part["t"]], table)
-                got = np.array(list(align_block(block)), np.int64).reshape(-1, 3)
-                yield pd.DataFrame({"group_id": keys[got[:, 0]], "source_no": got[:, 1], "translated_no": got[:, 2]})
+    def run(part: pd.DataFrame, table: Table) -> pd.DataFrame:
+        block = match([sentences(x) for x in part["s"]], [sentences(x) for x in part["t"]], table)
+        got = np.array(list(align_block(block, **steps)), np.int64).reshape(-1, 3)
+        return pd.DataFrame({"group_id": part["group_id"].to_numpy()[got[:, 0]], "source_no": got[:, 1], "translated_no": got[:, 2]})
 
     kind = groups.schema["group_id"].dataType.simpleString()
-    return _joined(groups).mapInPandas(run, f"group_id {kind}, source_no int, translated_no int")
+    return with_table(texts_of(groups), table, run, f"group_id {kind}, source_no int, translated_no int", ("s", "t"))

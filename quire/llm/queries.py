@@ -28,8 +28,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences of either side of a group that render each other."""
-    groups = table(spark, folder, "chunk_groups")
-    return align.align_groups(spread(groups), align.train(groups, table(spark, folder, "lexicon")))
+    groups = spread(table(spark, folder, "chunk_groups"))
+    return align.align_groups(groups, align.train(align.texts_of(groups), table(spark, folder, "lexicon")))
 
 
 def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from quire.llm import align as A
 from quire.llm.sentences import sentences
 
@@ -52,14 +55,97 @@ def group(rng):
     return source, target, true
 
 
-def test_learned_table_aligns_held_out_groups():
-    rng = random.Random(4)
-    train = [group(rng) for _ in range(600)]
-    table = A.learn([g[0] for g in train], [g[1] for g in train], SEED)
-    held = [group(rng) for _ in range(200)]
-    got = set(A.align_block(A.match([g[0] for g in held], [g[1] for g in held], table)))
-    true = {(k, i, j) for k, g in enumerate(held) for i, j in g[2]}
-    assert len(got & true) / len(true) > 0.9 and len(got & true) / len(got) > 0.9
+def sides(spark, groups):
+    return spark.createDataFrame([("\n".join(g[0]), "\n".join(g[1])) for g in groups], "s string, t string")
+
+
+def lexicon_of(spark, words):
+    return spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(words)], "word_id int, en string, tr string")
+
+
+def aligned(groups, table, **steps):
+    return set(A.align_block(A.match([g[0] for g in groups], [g[1] for g in groups], table), **steps))
+
+
+def named(rng, n):
+    """Groups in which every other source sentence holds a number that its rendering repeats."""
+    out = []
+    for _ in range(n):
+        s, t, true = group(rng)
+        for i, j in sorted(true):
+            if rng.random() < 0.5:
+                mark = str(rng.randrange(1000, 9999))
+                s[i], t[j] = f"{s[i][:-1]} {mark}.", f"{t[j][:-1]} {mark}."
+        out.append((s, t, true))
+    return out
+
+
+@pytest.fixture(scope="module")
+def learnt(spark):
+    return A.train(sides(spark, named(random.Random(4), 600)), lexicon_of(spark, SEED))
+
+
+def shares(groups, got):
+    true = {(k, i, j) for k, g in enumerate(groups) for i, j in g[2]}
+    return len(got & true) / len(true), len(got & true) / max(1, len(got))
+
+
+def test_learned_table_aligns_held_out_groups(learnt):
+    held = [group(random.Random(k)) for k in range(200)]
+    assert min(shares(held, aligned(held, learnt))) > 0.9
+
+
+def test_every_step_decides(spark, learnt):
+    held = named(random.Random(9), 200)
+    full, sure = shares(held, aligned(held, learnt))
+    assert full > 0.95 and sure > 0.95
+    assert shares(held, aligned(held, learnt, use_program=False))[0] < 0.6
+    assert shares(held, aligned(held, learnt, moved=False))[0] < full - 0.02
+    # With the lexicon alone, and with words of which none is known, the chain is what finds the pairs.
+    bare = A.train(sides(spark, []), lexicon_of(spark, SEED[:20]))
+    assert shares(held, aligned(held, bare, use_chain=False))[0] < shares(held, aligned(held, bare))[0] - 0.1
+
+
+def test_words_are_learnt_through_the_chain(spark, monkeypatch):
+    groups = named(random.Random(5), 300)
+    lexicon = lexicon_of(spark, [])
+    learnt = A.train(sides(spark, groups), lexicon)
+    monkeypatch.setattr(A, "sure_pairs", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    counts = A.Counts()
+    counts.add([g[0] for g in groups], [g[1] for g in groups])
+    assert len(learnt.entries) > 100 and "b" not in set(counts.rows()["kind"])
+
+
+def test_path_is_the_strongest():
+    rng = random.Random(2)
+
+    def brute(pairs):
+        best = [0.0] * len(pairs)
+        for k, (i, j, v) in enumerate(pairs):
+            best[k] = v + max([0.0, *(best[m] - A.AGAIN * (pairs[m][0] == i or pairs[m][1] == j) for m in range(k) if pairs[m][1] <= j)])
+        return max(best, default=0.0)
+
+    def worth(pairs, way):
+        return sum(pairs[k][2] for k in way) - sum(A.AGAIN for a, b in zip(way, way[1:]) if pairs[a][0] == pairs[b][0] or pairs[a][1] == pairs[b][1])
+
+    for size in [*range(8)] * 20 + [450, 600]:
+        pairs = sorted({(rng.randrange(size + 2), rng.randrange(size + 2)): rng.random() for _ in range(size)}.items())
+        pairs = [(*p, v) for p, v in pairs]
+        way = A.path(pairs)
+        assert all(pairs[a][0] <= pairs[b][0] and pairs[a][1] <= pairs[b][1] for a, b in zip(way, way[1:]))
+        assert abs(worth(pairs, way) - brute(pairs)) < 1e-9
+    dense = sorted((i, j, rng.random()) for i in range(30) for j in range(30))
+    assert abs(worth(dense, A.path(dense)) - brute(dense)) < 1e-9
+
+
+def test_a_large_table_is_joined_instead_of_sent(spark, monkeypatch):
+    monkeypatch.setattr(A, "SHARED_ROWS", 50)
+    groups = named(random.Random(6), 150)
+    frame = spark.createDataFrame([(k, True, g[0], [" " + t for t in g[1]]) for k, g in enumerate(groups)], "group_id long, parity_check boolean, source array<string>, translated array<string>")
+    rows, lexicon = A.texts_of(frame), lexicon_of(spark, SEED)
+    small, large = A.train(rows, lexicon), A.train(rows, lexicon, most=10)
+    assert isinstance(small, A.Table) and not isinstance(large, A.Table)
+    assert sorted(A.align_groups(frame, small).collect()) == sorted(A.align_groups(frame, large).collect())
 
 
 def test_chain_is_the_longest():
@@ -91,8 +177,8 @@ def test_frame(spark):
     rows = [(1, True, ["Harlo saw 12 ships.", " Then Kasmar left 77."], ["Harlo 12 gemi gördü. Kasmar 77 bıraktı."]), (2, False, ["Harlo 12."], ["Harlo 12."]), (3, None, ["Harlo 12."], ["Harlo 12."]), (4, True, ["Harlo 12."], []), (5, True, None, ["x"]), (6, True, [None, "Harlo saw 12."], ["Harlo 12 gördü."]), (None, True, [""], [""]), (8, True, ["Harlo 5 " * 5000], ["Harlo 5 " * 5000])]
     df = spark.createDataFrame([*rows, rows[0]], "group_id long, parity_check boolean, source array<string>, translated array<string>").selectExpr("*", "1 as s", "2 as source_no")
     lexicon = spark.createDataFrame([(1, "saw", "gördü"), (2, None, None)], "word_id int, en string, tr string")
-    table = A.train(df, lexicon, rows=10)
+    table = A.train(A.texts_of(df), lexicon)
     got = sorted(tuple(r) for r in A.align_groups(df, table).collect())
     assert [r for r in got if r[0] == 1] == [(1, 0, 0), (1, 0, 0), (1, 1, 1), (1, 1, 1)]
     assert {r[0] for r in got} <= {1, 6, 8} and (6, 0, 0) in got
-    assert A.align_groups(df.limit(0), A.train(df.limit(0), lexicon)).count() == 0
+    assert A.align_groups(df.limit(0), A.train(A.texts_of(df.limit(0)), lexicon)).count() == 0
