@@ -30,8 +30,10 @@ from quire.session import cut, lookup_join
 
 #: Sightings a rendering of the lexicon counts as, and what one of the corpus must have: sightings, share and lift.
 SEEN, LEAST_COUNT, LEAST_SHARE, LEAST_LIFT = 3.0, 3, 0.12, 4.0
-#: Translations that are kept of a word.
-MOST = 4
+#: Translations that are kept of a word, and the share of its sightings in a task below which a pair isn't handed on.
+MOST, SLACK = 4, LEAST_SHARE / 4
+#: A word weighs 1 if one in e to the power of this sentences holds it (in smaller corpora one in all).
+RARE_LOG = 10.0
 #: What a pair must explain: words (by weight), and share of the lighter sentence; less where the program agrees. On the
 #: chain of anchors, and alone in a gap between them, the share is enough.
 FREE, AGREED = (0.9, 0.35), (0.8, 0.33)
@@ -128,8 +130,15 @@ def _side(groups: list[list[str]]) -> tuple[np.ndarray, list[str], np.ndarray, n
     return ids[~is_end].astype(np.int64), words, np.cumsum(is_end)[~is_end], first
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each stands (sorting integers is faster than hashing them)."""
+    keys = np.sort(keys)
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[start], np.diff(np.append(start, len(keys)))
+
+
 def _once(keys: np.ndarray) -> np.ndarray:
-    values, counts = np.unique(keys, return_counts=True)
+    values, counts = _counted(keys)
     return values[counts == 1]
 
 
@@ -166,9 +175,9 @@ def match(source: list[list[str]], target: list[list[str]], table: Table, least:
     start, to, sure = np.array(start), np.array(to, np.int64), np.array(sure, float)
     # One row for each word of a sentence.
     n_t_words = len(t_words) + 1
-    s_key, s_times = np.unique(s_of * n_words + s_id, return_counts=True)
+    s_key, s_times = _counted(s_of * n_words + s_id)
     s_of, s_id = s_key // n_words, s_key % n_words
-    t_key, t_times = np.unique(t_of * n_t_words + t_id, return_counts=True)
+    t_key, t_times = _counted(t_of * n_t_words + t_id)
     t_of, t_id = t_key // n_t_words, t_key % n_t_words
     count = start[t_id + 1] - start[t_id] if len(t_id) else np.zeros(0, np.int64)
     rows = np.repeat(np.arange(len(t_id)), count)
@@ -388,7 +397,7 @@ def sure_pairs(source: list[list[str]], target: list[list[str]], s: tuple, t: tu
     n = len(s_words) + 1
     places = []
     for of, word, group in ((s_of, s_id, group_s), (t_of[to >= 0], to[to >= 0], group_t)):
-        pair = np.unique(of * n + word)
+        pair = _counted(of * n + word)[0]
         of, word = pair // n, pair % n
         key, at, count = np.unique(group[of] * n + word, return_index=True, return_counts=True)
         places.append((key[count == 1], of[at[count == 1]]))
@@ -434,7 +443,7 @@ class Counts:
         self.sentences += sum(len(g) for g in source)
         sides = []
         for side, (ids, words, of, first), picked in (("s", s, left), ("t", t, right)):
-            key = np.unique(of * (len(words) + 1) + ids)
+            key = _counted(of * (len(words) + 1) + ids)[0]
             of, ids = key // (len(words) + 1), key % (len(words) + 1)
             start = np.searchsorted(of, np.arange(first[-1] + 1))
             if side == "s":
@@ -453,7 +462,7 @@ class Counts:
         width = np.maximum(t_n, 1)[pair]
         key = (to_s[s_ids[s_at[pair] + k // width]] << 32) | to_t[t_ids[t_at[pair] + k % width]] if len(pair) else k
         if len(key):
-            self.pairs.append(np.unique(key, return_counts=True))
+            self.pairs.append(_counted(key))
             self.held += len(self.pairs[-1][0])
 
     def rows(self, everything: bool = True) -> pd.DataFrame:
@@ -463,6 +472,11 @@ class Counts:
             key, at = np.unique(np.concatenate([k for k, _ in self.pairs]), return_inverse=True)
             n = np.bincount(at, np.concatenate([c for _, c in self.pairs])).astype(np.int64)
             s, t = (np.array(list(mine), dtype=object) for mine in self.ids)
+            # Lossy counting: what is far below the least share of its word here is kept back, so that a
+            # share is understated by SLACK at most; of a word that is rare here nothing is.
+            here = np.array([self.words["t"].get(w, 0) for w in t])
+            often = n >= SLACK * here[key & 0xFFFFFFFF]
+            key, n = key[often], n[often]
             out.append(pd.DataFrame({"kind": "b", "a": s[key >> 32], "b": t[key & 0xFFFFFFFF], "n": n}))
         self.pairs, self.held, self.ids = [], 0, ({}, {})
         if everything:
@@ -528,8 +542,8 @@ def learned(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     rendered = entries.select("a").distinct().withColumn("rendered", F.lit(True))
     seen = of["f"].select("a", F.col("n").alias("f")).join(rendered, "a", "full")
     # Rare words weigh most; a word that renders nothing weighs nothing, one of the lexicon alone half.
-    weigh = F.log((sentences_all + 1) / F.col("f")) / float(np.log1p(max(1.0, sentences_all)))
-    weight = F.when(F.col("rendered"), F.coalesce(weigh, F.lit(0.5))).otherwise(0.0)
+    weigh = F.log((sentences_all + 1) / F.col("f")) / float(min(RARE_LOG, np.log1p(max(1.0, sentences_all))))
+    weight = F.when(F.col("rendered"), F.least(F.coalesce(weigh, F.lit(0.5)), F.lit(1.0))).otherwise(0.0)
     weights = seen.where(f"rendered or f >= {LEAST_COUNT}").select(F.lit("w").alias("kind"), "a", F.lit("").alias("b"), weight.alias("c"))
     plain = of["p"].where("n > 1").select(F.lit("p").alias("kind"), "a", F.lit("").alias("b"), F.lit(0.0).alias("c"))
     return entries.select(F.lit("t").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), F.col("sure").alias("c")).unionByName(weights).unionByName(plain)
