@@ -36,9 +36,9 @@ MOST, SLACK = 4, LEAST_SHARE / 4
 RARE_LOG = 10.0
 #: What a pair must explain: words (by weight), and share of the lighter sentence; less where the program agrees. On the
 #: chain of anchors, and alone in a gap between them, the share is enough.
-FREE, AGREED = (0.9, 0.35), (0.8, 0.33)
+FREE, AGREED = (0.8, 0.35), (0.6, 0.3)
 #: A pair that explains this much needs a smaller share, as either sentence may hold more clauses.
-PLENTY, PLENTY_SHARE = 1.15, 0.25
+PLENTY, PLENTY_SHARE = 1.0, 0.25
 #: What a pair on the chain of anchors gains, and what it costs if a sentence stands in one more pair.
 ON_CHAIN, AGAIN = 1.0, 0.25
 #: Groups handled at once.

@@ -1,9 +1,10 @@
 """Frequency of every distinct term, and marks for the rare and the common (problem 1).
 
-Entries are cut down to one row for each spelling and file before anything is normalised. The
-distinct terms get dense integer ids in range-partitioned order (the global dictionary); entries are
-encoded to ids; each block of encoded rows accumulates count arrays for occurrences and for files,
-held sparsely by identifier range; the arrays of a range are then summed. A term or a file that
+Entries are normalised and cut down to one row for each term and file. The distinct terms get dense
+integer ids in range-partitioned order (the global dictionary); entries are encoded to ids where they
+are, by a lookup that is sent if it is small and salted if not. Each task sorts its encoded rows by id
+and accumulates one block after the other, a block being a range of identifiers: count arrays for
+occurrences and for files, held sparsely. The arrays of a range are then summed. A term or a file that
 holds a third of all rows is combined map-side before every shuffle.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quire.session import cut, latest
+from quire.session import latest, lookup_join, stored
 
 #: Fewer occurrences than this are rare; a larger share of the files than this is common.
 RARE, COMMON = 3, 0.20
@@ -60,8 +61,9 @@ def dictionary(terms: DataFrame) -> DataFrame:
     Terms are range-partitioned and sorted; only the sizes of the partitions are gathered, to make
     offsets. The sorted table is checkpointed first, so a lost executor can't change the ids.
     """
-    placed = cut(terms.repartitionByRange("term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id()))
-    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("term")) - 1)
+    numbered = stored(terms.repartitionByRange("term").sortWithinPartitions("term").withColumn("at", F.monotonically_increasing_id()))
+    # The number holds the partition in its upper bits and the place in it in the lower 33.
+    placed = numbered.select("term", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit(2**33 - 1)).alias("place"))
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     # One row a partition, so this window is over a few rows.
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -69,22 +71,27 @@ def dictionary(terms: DataFrame) -> DataFrame:
 
 
 def _accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Count arrays of a block of (term_id, n, files), as rows of (range, offsets, n, files)."""
-    for block in batches:
-        if block.empty:
-            continue
-        ids, at = np.unique(block["term_id"].to_numpy(), return_inverse=True)
-        sums = [np.zeros(len(ids), np.int64) for _ in range(2)]
-        np.add.at(sums[0], at, block["n"].to_numpy())
-        np.add.at(sums[1], at, block["files"].to_numpy())
+    """Count arrays of a task's (term_id, n, files), which come sorted by id, as rows of (range, offsets, n, files)."""
+    lot, sums = None, None
+
+    def out() -> pd.DataFrame:
+        at = np.flatnonzero(sums[2])
+        return pd.DataFrame({"lot": [lot], "offsets": [at.astype(np.int32)], "n": [sums[0][at]], "files": [sums[1][at]]})
+
+    for rows in batches:
+        ids = rows["term_id"].to_numpy()
         lots, starts = np.unique(ids // RANGE, return_index=True)
-        ends = [*starts[1:], len(ids)]
-        yield pd.DataFrame({
-            "lot": lots,
-            "offsets": [(ids[a:b] - lot * RANGE).astype(np.int32) for lot, a, b in zip(lots, starts, ends)],
-            "n": [sums[0][a:b] for a, b in zip(starts, ends)],
-            "files": [sums[1][a:b] for a, b in zip(starts, ends)],
-        })
+        for mine, a, b in zip(lots.tolist(), starts, [*starts[1:], len(ids)]):
+            if mine != lot:
+                if lot is not None:
+                    yield out()
+                lot, sums = mine, np.zeros((3, RANGE), np.int64)
+            at = ids[a:b] - mine * RANGE
+            np.add.at(sums[0], at, rows["n"].to_numpy()[a:b])
+            np.add.at(sums[1], at, rows["files"].to_numpy()[a:b])
+            sums[2][at] = 1
+    if lot is not None:
+        yield out()
 
 
 def _sum_range(arrays: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,15 +125,12 @@ def term_frequencies(entries: DataFrame, rare: int = RARE, common: float = COMMO
     the base of the common share, also those that list no term.
     """
     rows = latest(entries.select("entry_id", "job_id", "source", "count", "loaded_at"), "entry_id", [F.col("loaded_at")])
-    spelled = rows.groupBy("source", "job_id").agg(F.sum(F.coalesce("count", F.lit(0)).cast("long")).alias("n"))
-    # Normalising comes after the first combining, and the second one joins the spellings of a file.
-    listed = cut(
-        spelled.select(term_form("source").alias("term"), "job_id", "n").groupBy("term", "job_id").agg(F.sum("n").alias("n"))
-    )
+    formed = rows.select(term_form("source").alias("term"), "job_id", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+    listed = stored(formed.groupBy("term", "job_id").agg(F.sum("n").alias("n")))
     n_files = listed.where("job_id is not null").select("job_id").distinct().count()
-    listed = listed.where("term is not null").withColumn("files", F.col("job_id").isNotNull().cast("long"))
-    ids = cut(dictionary(listed.select("term").distinct()))
-    encoded = listed.join(ids, "term").select("term_id", "n", "files")
+    ids = dictionary(listed.where("term is not null").select("term").distinct())
+    terms = listed.where("term is not null").select("term", "n", F.col("job_id").isNotNull().cast("long").alias("files"))
+    encoded = lookup_join(terms, ids, "term", "inner").select("term_id", "n", "files").sortWithinPartitions("term_id")
     arrays = encoded.mapInPandas(_accumulate, "lot long, offsets array<int>, n array<long>, files array<long>")
     sums = arrays.repartition("lot").sortWithinPartitions("lot").mapInPandas(_sum_range, "term_id long, occurrences long, files long")
     return ids.join(sums, "term_id").select(
