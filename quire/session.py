@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow lookup side may be broadcast; beyond it the join is salted.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a narrow lookup side may be broadcast; beyond either the join is salted.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
 #: Copies of the lookup side in a salted join, and so the number of tasks a hot key is spread over.
 SALTS = 16
 
@@ -29,10 +29,17 @@ def local_session(cores: int | str = "*", app: str = "quire", **conf: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder the cluster names; set a folder of our own only where there is none."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    """Keep the shared folder the cluster names; a folder of our own only for a session of one machine.
+
+    On a cluster a folder of one machine would lose its tables with it, so there a session that names
+    none is refused.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -74,11 +81,16 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``facts`` to a narrow ``lookup`` with unique ``key``.
 
-    The lookup is broadcast when it has at most ``max_rows`` rows. Beyond that each fact row gets
+    The lookup is evaluated once, into the shared folder, and measured there: it is broadcast when it
+    has at most ``max_rows`` rows and BROADCAST_BYTES bytes. Beyond that each fact row gets
     one of ``salts`` salts and the lookup is repeated once a salt, so that a key which holds a third
     of all facts is spread over ``salts`` tasks. A null key finds nothing (kept by a left join).
     """
-    if at_most(lookup.select(key), max_rows):
+    lookup = stored(lookup)
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in lookup.dtypes if kind == "string"]
+    row = sum(wide, F.lit(8 * (len(lookup.columns) + 1)))
+    rows, size = lookup.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    if rows <= max_rows and size <= BROADCAST_BYTES:
         return facts.join(F.broadcast(lookup), key, how)
     salt = "_salt"
     left = facts.withColumn(salt, F.pmod(F.xxhash64(*[facts[c] for c in facts.columns[:4]]), F.lit(salts)).cast("int"))
