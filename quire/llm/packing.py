@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tokens import TOKENIZERS, count_tokens
-from quire.session import lookup_join
+from quire.session import lookup_join, stored
 
 #: Items a shard holds on average.
 SHARD_ITEMS = 5000
-#: Fillings looked at in the search of one shard, and kept for one container.
-SEARCH_NODES, FILLINGS = 4000, 8
+#: Fillings looked at in the search of one shard for each container of the first incumbent, and kept for one
+#: container (of four times as many that are found, in forty times as many steps). None searches all of them.
+SEARCH_NODES, FILLINGS = 20, 8
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -63,7 +64,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def _fillings(room: int, count: dict[int, int], limit: int) -> list[tuple[int, ...]]:
+def _fillings(room: int, count: dict[int, int], limit: int | None) -> list[tuple[int, ...]]:
     """Undominated multisets of sizes that fit into ``room``, fullest first.
 
     A filling is dominated if some unused size could take the place of a part of it that isn't
@@ -76,7 +77,7 @@ def _fillings(room: int, count: dict[int, int], limit: int) -> list[tuple[int, .
     def grow(at: int, left: int, taken: tuple[int, ...]) -> None:
         nonlocal steps
         steps += 1
-        if steps > 40 * limit:
+        if limit is not None and steps > 40 * limit:
             return
         fits = False
         for k in range(at, len(values)):
@@ -84,7 +85,7 @@ def _fillings(room: int, count: dict[int, int], limit: int) -> list[tuple[int, .
             if v <= left and taken.count(v) < count[v]:
                 fits = True
                 grow(k, left - v, (*taken, v))
-                if len(found) >= 4 * limit or (found and found[-1][0] == 0):
+                if limit is not None and len(found) >= 4 * limit or (found and found[-1][0] == 0):
                     return
         if not fits and not any(v <= left and taken.count(v) < count[v] for v in values):
             found.append((left, taken))
@@ -100,8 +101,11 @@ def _fillings(room: int, count: dict[int, int], limit: int) -> list[tuple[int, .
     return [taken for _, taken in (kept or sorted(found))[:limit]]
 
 
-def pack(sizes: list[int], capacity: int, nodes: int = SEARCH_NODES) -> list[list[int]]:
-    """Containers as lists of item numbers; every size must be between 1 and ``capacity``."""
+def pack(sizes: list[int], capacity: int, nodes: int | None = SEARCH_NODES, fillings: int | None = FILLINGS) -> list[list[int]]:
+    """Containers as lists of item numbers; every size must be between 1 and ``capacity``.
+
+    ``nodes`` and ``fillings`` bound the search; with None for both it ends only with the fewest containers.
+    """
     best = best_fit(sizes, capacity)
     if not sizes or len(best) == -(-sum(sizes) // capacity):
         return best
@@ -113,6 +117,7 @@ def pack(sizes: list[int], capacity: int, nodes: int = SEARCH_NODES) -> list[lis
     for s in sizes:
         count[s] = count.get(s, 0) + 1
     goal = len(best)
+    left = float("inf") if nodes is None else nodes * goal
     answer: list[tuple[int, ...]] | None = None
     # A stack instead of recursion, as a shard has thousands of containers: for each open container
     # the fillings still to be tried, and the one that is taken now.
@@ -122,13 +127,13 @@ def pack(sizes: list[int], capacity: int, nodes: int = SEARCH_NODES) -> list[lis
     def opened() -> list:
         top = max(count)
         _take(count, (top,), -1)
-        fills = [(top, *f) for f in _fillings(capacity - top, count, FILLINGS)]
+        fills = [(top, *f) for f in _fillings(capacity - top, count, fillings)]
         _take(count, (top,), 1)
         return [iter(fills), None]
 
     stack.append(opened())
-    while stack and nodes > 0:
-        nodes -= 1
+    while stack and left > 0:
+        left -= 1
         frame = stack[-1]
         if frame[1] is not None:
             _take(count, frame[1], 1)
@@ -171,14 +176,11 @@ def pack_sized(items: DataFrame, limits: DataFrame, shard_items: int = SHARD_ITE
     Rows: provider, container, doc_id, piece, token_from, token_to. Items without tokens, of a null
     provider, or of one without a positive capacity aren't placed. Repeated rows are items of their own.
     """
-    return _fill(lookup_join(items.where("n_tokens > 0"), _lots(items, limits, shard_items), "provider", "inner"))
-
-
-def _lots(rows: DataFrame, limits: DataFrame, shard_items: int) -> DataFrame:
-    """Capacity and number of shards of each provider."""
+    items = items.where("n_tokens > 0 and provider is not null")
     caps = limits.where("capacity_tokens > 0").groupBy("provider").agg(F.max("capacity_tokens").cast("int").alias("_cap"))
-    counts = rows.groupBy("provider").agg(F.count("*").alias("_n"))
-    return counts.join(caps, "provider").select("provider", "_cap", F.ceil(F.col("_n") / shard_items).cast("int").alias("_shards"))
+    counts = items.groupBy("provider").agg(F.count("*").alias("_n"))
+    lots = counts.join(caps, "provider").select("provider", "_cap", F.ceil(F.col("_n") / shard_items).cast("int").alias("_shards"))
+    return _fill(lookup_join(items, lots, "provider", "inner"))
 
 
 def _fill(placed: DataFrame) -> DataFrame:
@@ -207,9 +209,9 @@ def pack_corpus(
 ) -> DataFrame:
     """Every document with a text in containers of its provider's ``capacity_tokens``.
 
-    Number of shards: from the counts of documents by provider, taken from that column alone. See
-    ``pack_sized`` for nulls and repeated rows; null and empty texts aren't placed.
+    The texts are read once: what is counted, sharded and packed are their sizes, stored in the shared
+    folder. See ``pack_sized`` for nulls and repeated rows; null and empty texts aren't placed.
     """
     texts = documents.where("text is not null and text <> '' and provider is not null")
     sized = count_tokens(texts, ["provider", "doc_id"], "text", tokenizer, folder)
-    return _fill(lookup_join(sized, _lots(texts, limits, shard_items), "provider", "inner"))
+    return pack_sized(stored(sized), limits, shard_items)

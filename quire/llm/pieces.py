@@ -3,9 +3,10 @@
 A text is cut into atoms: sentences, and where a sentence is too large its clauses, words and, for an
 unbroken run beyond the limit, slices of it. Neighbouring atoms are merged agglomeratively: adjacent
 pairs lie in a heap by the strength of the boundary between them, the weakest is merged first while
-both together, with the overlap, fit the limit. If that leaves a piece below the minimum, the cuts
-are placed again over the same atoms by dynamic programming (fewest short pieces, then fewest
-pieces, then strongest boundaries), as merging alone can't tell whether the minimum can be had.
+both together, with the overlap, fit the limit. A piece that stays below the minimum is merged with a
+neighbour beyond the limit, and both are cut again at the strongest boundary, down to words, that
+leaves neither short. Where two pieces can't give that although the sizes would allow it, the cuts
+around it are placed anew over the words by dynamic programming.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quire.session import lookup_join
 
 #: Strength of a boundary: blank line, line, sentence, clause, word, inside a run.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, FORCED = 6, 5, 4, 3, 2, 0
+#: Pieces on either side of a short one whose cuts are placed anew together.
+REACH = 3
 _sentence = re.compile(r"(?:\n|[.!?…]+[\"'”’»)\]]*\s)\s*")
 _clause = re.compile(r"[,;:]\s+")
 _word = re.compile(r"\s+")
@@ -45,8 +48,8 @@ def boundaries(text: str, level: int = WORD, start: int = 0, stop: int | None =
     return out
 
 
-def _atoms(text: str, limit: int, room: int) -> tuple[list[int], list[int]]:
-    """Ends of the atoms and the strength of the boundary after each.
+def _atoms(text: str, limit: int, room: int, begin: int = 0, end: int | None = None) -> tuple[list[int], list[int]]:
+    """Ends of the atoms of a part of ``text`` and the strength of the boundary after each.
 
     A part larger than ``room`` is cut at the next weaker boundaries; a word is kept whole up to the
     limit itself (it can do without overlap) and sliced beyond.
@@ -57,7 +60,7 @@ def _atoms(text: str, limit: int, room: int) -> tuple[list[int], list[int]]:
     def part(a: int, b: int, after: int, level: int) -> None:
         if b - a <= room or level == FORCED:
             if b - a > limit:
-                inside = range(a + limit, b, max(1, room))
+                inside = range(a + limit, b, limit)  # no word begins in a run, so these have no overlap
                 ends.extend(inside)
                 power.extend([FORCED] * len(inside))
             ends.append(b)
@@ -69,11 +72,11 @@ def _atoms(text: str, limit: int, room: int) -> tuple[list[int], list[int]]:
             start = at
         part(start, b, after, _finer[level])
 
-    start = 0
-    for at, force in boundaries(text, SENTENCE):
+    start, end = begin, len(text) if end is None else end
+    for at, force in boundaries(text, SENTENCE, begin, end):
         part(start, at, force, CLAUSE)
         start = at
-    part(start, len(text), PARAGRAPH, CLAUSE)
+    part(start, end, PARAGRAPH, CLAUSE)
     return ends, power
 
 
@@ -98,30 +101,107 @@ def _merged(ends: list[int], power: list[int], limit: int, room: int) -> list[in
     return [high[i] for i in range(n) if alive[i]]
 
 
-def _placed(text: str, ends: list[int], power: list[int], limit: int, least: int, overlap: int) -> list[int]:
-    """Cuts over the atoms with the fewest pieces below ``least``, then the fewest, then the strongest."""
-    n = len(ends)
-    at = [0, *ends]
-    begin = [_overlap_start(text, x, overlap, 0) if 0 < x < len(text) else x for x in at]
-    best: list[tuple | None] = [(0, 0, 0, -1), *[None] * n]
+def _placed(text: str, begin: int, end: int, limit: int, least: int, overlap: int) -> list[int]:
+    """Cuts of a part of the text over its words with the fewest pieces below ``least``, then the fewest, the strongest, the most even."""
+    found, force = _atoms(text, limit, 1, begin, end)
+    n = len(found)
+    at = [begin, *found]
+    starts = [_overlap_start(text, x, overlap, 0) if overlap and 0 < x < len(text) else x for x in at]
+    best: list[tuple | None] = [(0, 0, 0, 0, -1), *[None] * n]
     for j in range(1, n + 1):
         for i in range(j - 1, -1, -1):
             if at[j] - at[i] > limit:
                 break
-            size = at[j] - begin[i]
+            size = at[j] - starts[i]
             if best[i] is None or (size > limit and i < j - 1):
                 continue
-            short, count, weak, _ = best[i]
-            cost = (short + (size < least), count + 1, weak + PARAGRAPH - power[j - 1], i)
+            short, count, weak, uneven, _ = best[i]
+            cost = (short + (size < least), count + 1, weak + PARAGRAPH - force[j - 1], uneven + size * size, i)
             if best[j] is None or cost < best[j]:
                 best[j] = cost
     out, j = [], n
     while j > 0:
         out.append(at[j])
-        j = best[j][3]
+        j = best[j][-1]
     return out[::-1]
 
 
+def _recut(text: str, a: int, b: int, limit: int, least: int, overlap: int, late: bool = False) -> int | None:
+    """Where to cut a..b in two pieces of which neither is short nor too long.
+
+    The strongest boundary, then the one nearest the middle, then the first or, if ``late``, the last.
+    """
+    first = _overlap_start(text, a, overlap, 0) if a and overlap else a
+    low, high = max(a + 1, first + least, b - limit), min(b - 1, first + limit, b - max(0, least - 2 * overlap))
+    for level in (SENTENCE, CLAUSE, WORD):
+        near = [(-force, abs(2 * at - a - b), -at if late else at, at) for at, force in boundaries(text, level, a, b) if low <= at <= high]
+        for *_, at in sorted(near):
+            start = _overlap_start(text, at, overlap, max(a, b - limit)) if overlap else at
+            if b - start >= least:
+                return at
+    return None
+
+
+def _can_be(size: int, limit: int, least: int, overlap: int) -> bool:
+    """Whether pieces between ``least`` and ``limit`` can make up ``size`` characters, as far as sizes tell."""
+    few = -(-(size - overlap) // max(1, limit - overlap))
+    return few * least <= size + (few - 1) * overlap
+
+
+def _starts(text: str, cuts: list[int], low: int, high: int, limit: int, overlap: int) -> list[int]:
+    """Where the pieces low..high-1 begin, with their overlap."""
+    out = []
+    before = 0
+    for k in range(max(0, low - 1), high):
+        core = cuts[k - 1] if k else 0
+        before = _overlap_start(text, core, overlap, max(before, cuts[k] - limit)) if core and overlap else core
+        if k >= low:
+            out.append(before)
+    return out
+
+
+def _repaired(text: str, cuts: list[int], limit: int, least: int, overlap: int) -> list[int]:
+    """The cuts after short pieces were merged with a neighbour and both cut again, as far as that helps."""
+
+    def short(cuts: list[int], low: int, high: int) -> int:
+        return sum(stop - start < least for start, stop in zip(_starts(text, cuts, low, high, limit, overlap), cuts[low:high]))
+
+    def ways(k: int) -> Iterator[tuple[int, int, list[int]]]:
+        """First piece and end of a few pieces, and other cuts for them."""
+        for first in (k - 1, k):
+            if first < 0 or first + 1 >= len(cuts):
+                continue
+            # Of two cuts alike the short piece gets more; then the pieces beside are evened out.
+            at = _recut(text, cuts[first - 1] if first else 0, cuts[first + 1], limit, least, overlap, first == k)
+            if at is None:
+                continue
+            low, high = max(0, first - 1), min(len(cuts), first + 3)
+            new = [*cuts[low:first], at, *cuts[first + 1 : high]]
+            begin = cuts[low - 1] if low else 0
+            for beside in (first - 1 - low, first + 1 - low):
+                if 0 <= beside < len(new) - 1:
+                    even = _recut(text, new[beside - 1] if beside else begin, new[beside + 1], limit, least, overlap)
+                    new[beside] = new[beside] if even is None else even
+            yield low, high, new
+        low, high = max(0, k - REACH), min(len(cuts), k + REACH + 1)
+        begin = cuts[low - 1] if low else 0
+        if _can_be(cuts[high - 1] - begin, limit, least, overlap) or short(cuts, low, high) > 1:
+            yield low, high, _placed(text, begin, cuts[high - 1], limit, least, overlap)
+
+    k = 0
+    while k < len(cuts):
+        if short(cuts, k, k + 1):
+            for low, high, new in ways(k):
+                # The piece after may begin elsewhere now.
+                after = min(1, len(cuts) - high)
+                other = [*cuts[:low], *new, *cuts[high:]]
+                if short(other, low, low + len(new) + after) < short(cuts, low, high + after):
+                    cuts, k = other, max(0, low - 1)
+                    break
+        k += 1
+    return cuts
+
+
 def _overlap_start(text: str, core: int, overlap: int, first: int) -> int:
     """The word beginning nearest to ``overlap`` characters before ``core``, not before ``first``."""
     wanted = core - overlap
@@ -144,30 +224,19 @@ def split(text: str, limit: int, least: int = 0, overlap: int = 0) -> list[tuple
     """Pieces as (start, core start, end): the text from start to core start repeats the piece before.
 
     No piece is longer than ``limit``; the cores tile the text. The overlap begins at the word
-    nearest to the wanted length that fits; there is none where no word begins. An overlap of more
-    than half the limit counts as half.
+    nearest to the wanted length that fits; there is none where no word begins. One of the limit or
+    more leaves room for one new character only.
     """
     if len(text) <= limit:
         return [(0, 0, len(text))]
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     ends, power = _atoms(text, limit, limit - overlap)
     cuts = _merged(ends, power, limit, limit - overlap)
-    out = _with_overlap(text, cuts, limit, overlap)
-    if any(stop - start < least for start, _, stop in out):
-        again = _with_overlap(text, _placed(text, ends, power, limit, least, overlap), limit, overlap)
-        if sum(stop - start < least for start, _, stop in again) < sum(stop - start < least for start, _, stop in out):
-            return again
-    return out
+    return _with_overlap(text, _repaired(text, cuts, limit, least, overlap) if least > 0 else cuts, limit, overlap)
 
 
 def _with_overlap(text: str, cuts: list[int], limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    out = []
-    core, before = 0, 0
-    for end in cuts:
-        start = _overlap_start(text, core, overlap, max(before, end - limit)) if core and overlap else core
-        out.append((start, core, end))
-        before, core = core, end
-    return out
+    return list(zip(_starts(text, cuts, 0, len(cuts), limit, overlap), [0, *cuts], cuts))
 
 
 def has_long_run(text: str, limit: int) -> bool:

@@ -55,3 +55,26 @@ def test_frame(spark):
     assert P.split_groups(groups.limit(0), jobs, limits).count() == 0
     assert P.split_groups(groups, jobs.limit(0), limits).count() == 0
     assert P.split_groups(groups, jobs, limits.limit(0)).select("group_id").distinct().count() == 3
+
+
+def test_minimum_is_met_wherever_the_sizes_and_words_allow_it():
+    rng = random.Random(8)
+    for _ in range(150):
+        text = "".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7))) + rng.choice([" ", " ", " ", ", ", ". "]) for _ in range(rng.randint(30, 120)))
+        limit = rng.randint(60, 120)
+        least = rng.randint(10, limit // 2)
+        out = check(text, limit, least, 0)
+        # Brute force over the word boundaries: the fewest short pieces there can be.
+        ends = [e for e, _ in P.boundaries(text, P.WORD)] + [len(text)]
+        best = {0: 0}
+        for e in ends:
+            ways = [n + (e - a < least) for a, n in best.items() if e - a <= limit]
+            if ways:
+                best[e] = min(ways)
+        assert sum(e - s < least for s, _, e in out) == best[len(text)]
+
+
+def test_an_overlap_beyond_half_the_limit_is_kept():
+    text = " ".join(f"w{i:03d}" for i in range(200))
+    out = check(text, 100, 0, 70)
+    assert all(66 <= c - s <= 74 for s, c, _ in out[1:])
