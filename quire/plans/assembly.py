@@ -27,7 +27,7 @@ def _windows(spark, folder):
     batches = units.groupBy("parent_block_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("id", "source_text"))), lambda u: u["source_text"]).alias("page_texts"), F.array(F.min_by("source_text", "id")).alias("unit_texts")
     )
-    return assembly.context_windows(batches, "parent_block_id", 500).select("parent_block_id", F.length("context").alias("chars"))
+    return assembly.context_windows(batches, "parent_block_id", 500)
 
 
 def _enforced(spark, folder):
@@ -52,6 +52,13 @@ i AS (SELECT b.doc_id, CAST(h.id AS BIGINT) AS image_id, (b.n - b.stop)::INT AS
 """
 
 SQL = {
+    "context_windows": r"""WITH u AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS k FROM chunks WHERE id IS NOT NULL) WHERE k = 1 AND parent_block_id IS NOT NULL),
+ g AS (SELECT parent_block_id, coalesce(string_agg(nullif(source_text, ''), chr(10) ORDER BY id), '') AS page, arg_min(source_text, id) AS part FROM u GROUP BY parent_block_id),
+ p AS (SELECT *, length(page) AS n, strpos(page, nullif(part, '')) - 1 AS a FROM g),
+ s AS (SELECT *, greatest(0, least(CASE WHEN a >= 0 THEN (2 * a + length(part)) // 2 ELSE 250 END - 250, n - 500)) AS start FROM p),
+ f AS (SELECT *, start + 500 AS stop, CASE WHEN start > 0 AND contains(substr(page, start + 1, 80), ' ') THEN start + strpos(substr(page, start + 1, 80), ' ') ELSE start END AS first FROM s),
+ l AS (SELECT *, strpos(reverse(substr(page, stop - 79, 80)), ' ') AS back FROM f)
+ SELECT parent_block_id, CASE WHEN n <= 500 THEN page ELSE regexp_replace(substr(page, first + 1, CASE WHEN stop < n AND back > 0 AND stop - back > first THEN stop - back ELSE stop END - first), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS context FROM l""",
     "legend_items": _ITEMS + "SELECT * FROM i",
     "paired_legends": _ITEMS + r", t AS (SELECT doc_id, image_id, item_no, label, label || '!' AS rendering FROM i) SELECT *, '- ' || regexp_replace(label, '^(\d+)([.)])', '\1\\\2') || ' → ' || rendering AS line FROM t",
     "figure_labels": _ITEMS + r""", c AS (SELECT doc_id, image_id, trim(regexp_replace(label, '[\s\p{Z}]+', ' ', 'g')) AS t, min(item_no) AS o FROM i GROUP BY ALL),

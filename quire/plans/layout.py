@@ -100,6 +100,21 @@ _CLUSTERS = _B.replace("WITH e", "WITH RECURSIVE e") + f""", links AS (SELECT a.
 reach(f, t) AS (SELECT f, t FROM links UNION SELECT reach.f, links.t FROM reach JOIN links ON reach.t = links.f),
 c AS (SELECT job_id, page, unit, (SELECT min(t) FROM reach WHERE f = b.unit) AS cluster FROM b)"""
 
+def _shared_sql(threshold: float, passes: int) -> str:
+    """Passes over the pending units of a size; a unit is done with a scale, done with its own, or pending again."""
+    steps = [_B + ", p0 AS (SELECT unit, size, scale AS v FROM b WHERE scale IS NOT NULL)"]
+    for k in range(passes):
+        steps.append(f"""m{k} AS (SELECT size, count(*) AS n, list_sort(list(v)) AS l FROM p{k} GROUP BY size HAVING count(*) >= 2),
+e{k} AS (SELECT p.*, greatest({threshold}, (l[(n + 1) // 2] + l[n // 2 + 1]) / 2 - 0.10) AS bound FROM p{k} p JOIN m{k} USING (size)),
+f{k} AS (SELECT *, count(*) OVER w AS ne, min(v) OVER w AS s FROM e{k} WHERE v >= bound WINDOW w AS (PARTITION BY size)),
+g{k} AS (SELECT *, v <= s / (1.0 - 0.10) AS capped, CASE WHEN s * 0.99 < {threshold} AND {threshold} <= s THEN {threshold} ELSE s * 0.99 END AS x FROM f{k}),
+h{k} AS (SELECT *, count_if(capped) OVER w AS nc, capped AND x >= v * (1.0 - 0.10) AS fits, count_if(capped AND x >= v * (1.0 - 0.10)) OVER w AS nf FROM g{k} WINDOW w AS (PARTITION BY size)),
+d{k} AS (SELECT unit, CASE WHEN ne >= 2 AND s < 1 AND nc >= 2 AND nf >= 2 THEN x END AS x FROM h{k} WHERE CASE WHEN ne < 2 OR s >= 1 THEN true WHEN nc < 2 THEN capped ELSE fits END),
+p{k + 1} AS (SELECT unit, size, v FROM p{k} ANTI JOIN d{k} USING (unit))""")
+    done = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(passes))
+    return ", ".join(steps) + f", done AS ({done}) SELECT b.unit, coalesce(done.x, b.scale) AS scale FROM b LEFT JOIN done USING (unit)"
+
+
 SQL = {
     "box_algebra": _B + """ SELECT unit, (x1 - x0) * (y1 - y0) AS area, greatest(least(x1, 300) - greatest(x0, 100), 0) * greatest(least(y1, 400) - greatest(y0, 100), 0) AS shared,
  x0 >= 100 AND y0 >= 100 AND x1 <= 300 AND y1 <= 400 AS inside, greatest(0, greatest(x0, 100) - least(x1, 300), greatest(y0, 100) - least(y1, 400)) AS gap, greatest(x1, 300) AS union_x1, x0 - 2 AS wide_x0,
@@ -114,8 +129,7 @@ SQL = {
     "figure_totals": _B + """, f AS (SELECT job_id, unit, unit % 5 AS page, unit % 7 AS labels, unit % 3 = 0 AS raster FROM b)
  SELECT job_id, count(*) AS figures, count_if(NOT raster) AS vector, count_if(raster) AS raster, CAST(sum(labels) AS BIGINT) AS labels, count(DISTINCT page) AS pages, arg_max(unit, (labels, -unit)) AS most_labels FROM f GROUP BY job_id""",
     "overlaps_left": "SELECT entry_id AS unit, entry_id AS other FROM overlay_review WHERE false",
-    "shared_scales": _B + """, m AS (SELECT size, greatest(0.6, quantile_cont(scale, 0.5) - 0.10) AS bound FROM b GROUP BY size), l AS (SELECT size, min(scale) AS s FROM b JOIN m USING (size) WHERE scale >= bound GROUP BY size)
- SELECT unit, CASE WHEN scale >= bound AND scale - s <= 0.10 THEN s ELSE scale END AS scale FROM b JOIN m USING (size) LEFT JOIN l USING (size)""",
+    "shared_scales": _shared_sql(0.6, 16),
     "heading_tiers": _B + " SELECT DISTINCT job_id, round_even(size * 2, 0) / 2 AS size, least(dense_rank() OVER (PARTITION BY job_id ORDER BY round_even(size * 2, 0) DESC), 3)::INT AS level FROM b",
     "dominant_sizes": _B + ", w AS (SELECT job_id, size, sum(length(text)) AS n FROM b WHERE length(text) > 0 GROUP BY ALL) SELECT job_id, arg_max(size, (n, size)) AS size FROM w GROUP BY job_id",
 }

@@ -159,7 +159,8 @@ SQL = {
     "to_send": _U + f" SELECT job_id, count(*) AS units, CAST(sum(char_count) AS BIGINT) AS chars FROM u WHERE translatable AND {_READY} GROUP BY job_id",
     "kind_runs": _U + """, m AS (SELECT *, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM u WINDOW w AS (PARTITION BY job_id ORDER BY id)),
  i AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY id) AS island FROM m) SELECT job_id, CAST(island AS BIGINT) AS island, kind, count(*) AS chunks, min(id) AS first_id FROM i GROUP BY ALL""",
-    "review_tally": """WITH e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY loaded_at DESC) AS k FROM overlay_review) WHERE k = 1)
- SELECT r.reason, count(e.entry_id) AS entries FROM (VALUES ('could_not_fit'), ('shrunk_below_threshold'), ('glyph_missing'), ('kept_original'), ('fragment'), ('over_image')) r(reason) LEFT JOIN e USING (reason) GROUP BY 1""",
+    "review_tally": f"""WITH e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY loaded_at DESC NULLS LAST) AS k FROM overlay_review WHERE entry_id IS NOT NULL) WHERE k = 1),
+ known(reason) AS (VALUES {", ".join(f"('{r}')" for r in REVIEW_REASONS)}), c AS (SELECT reason, count(*) AS entries FROM e GROUP BY reason)
+ SELECT coalesce(known.reason, c.reason) AS reason, coalesce(entries, 0) AS entries FROM known FULL OUTER JOIN c ON known.reason = c.reason""",
     "suspect_lengths": _U + f" SELECT id FROM u WHERE length({_TRIMMED.replace('{}', 'source_text', 1)}) > 40 AND length({_TRIMMED.replace('{}', 'translated_text', 1)}) < 0.2 * length({_TRIMMED.replace('{}', 'source_text', 1)})",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import language, lines
+from quire.operators import language, lines, store
 from quire.session import spread, table
 
 
@@ -75,7 +75,7 @@ def _scalars(spark, folder):
 
 def _answers(spark, folder):
     s, t = F.col("source_text"), F.col("translated_text")
-    rows = table(spark, folder, "chunks").where("status = 'COMPLETED'")
+    rows = store.records(table(spark, folder, "chunks").select("id", "job_id", "status", "source_text", "translated_text", "updated_at")).where("status = 'COMPLETED'")
     return rows.groupBy("job_id").agg(F.count_if(T.is_empty_answer(s, t)).alias("empty"), F.count_if(F.coalesce(T.is_truncated_answer(s, t), F.lit(False))).alias("truncated"))
 
 
@@ -158,11 +158,12 @@ FROM t WHERE regexp_matches(tl, '^{_BULLET}[{_S}]+[^{_S}]') OR regexp_matches(tl
  len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{Nl}}\p{{No}}]+')) AS words,
  CASE WHEN length(text) > 100 THEN left(text, 99) || '…' ELSE text END AS short,
  length(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style)\s*>', '', 'g'), '</?[A-Za-z][^>]*>', '', 'g')) AS plain_chars,
- replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped,
+ replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped,
  lower(translate(title, 'Iİ', 'ıi')) AS folded_title, left(title, greatest(4, length(title) - 2)::BIGINT) AS stem,
  translate(n_chars::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') AS raised, ((length(text) - length(replace(text, '**', ''))) // 2)::INT AS bold,
  strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created, printf('p%03d-b%03d', section_no, section_no + 1) AS block, printf('img-%05d.png', doc_id) AS figure
 FROM documents""",
-    "answer_checks": rf"""WITH t AS (SELECT job_id, {_trim('source_text')} AS s, {_trim('translated_text')} AS a FROM chunks WHERE status = 'COMPLETED')
+    "answer_checks": rf"""WITH u AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS k FROM chunks WHERE id IS NOT NULL) WHERE k = 1),
+ t AS (SELECT job_id, {_trim('source_text')} AS s, {_trim('translated_text')} AS a FROM u WHERE status = 'COMPLETED')
 SELECT job_id, count_if(s <> '' AND coalesce(a, '') = '') AS empty, count_if(length(s) > 40 AND length(a) < length(s) * 0.2) AS truncated FROM t GROUP BY job_id""",
 }
