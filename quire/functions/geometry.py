@@ -100,3 +100,17 @@ def fit_within(width: Column, height: Column, max_width: Column, max_height: Col
     """struct(width, height) scaled down, never up, to fit."""
     scale = F.least(lit(1.0), max_width / width, max_height / height)
     return F.struct((width * scale).alias("width"), (height * scale).alias("height"))
+
+
+#: Least and greatest line height in em; the least also where nothing can be measured. Fixed values.
+LINE_HEIGHTS = (1.15, 1.40)
+
+
+def line_pitch(boxes: Column, font_size: Column) -> Column:
+    """Line height in em: the median distance of the tops of following lines by the font size, within bounds."""
+    tops = F.array_sort(F.transform(boxes, lambda b: b.y0))
+    steps = F.array_sort(F.filter(F.transform(F.sequence(lit(1), F.greatest(F.size(tops) - 1, lit(1))), lambda i: F.get(tops, i) - F.get(tops, i - 1)), lambda d: d > 0))
+    n = F.size(steps)
+    middle = (F.get(steps, F.floor((n - 1) / 2).cast("int")) + F.get(steps, F.floor(n / 2).cast("int"))) / 2
+    known = (font_size > 0) & (F.size(boxes) >= 2) & (n > 0)
+    return F.when(known, F.least(lit(LINE_HEIGHTS[1]), F.greatest(lit(LINE_HEIGHTS[0]), F.round(middle / font_size, 3)))).otherwise(LINE_HEIGHTS[0])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.session import stored
 
 #: Pages on which a pattern must stand at least, and the share of pages.
 MIN_PAGES, PAGE_SHARE = 3, 0.30
@@ -88,15 +91,60 @@ def heading_tiers(headings: DataFrame, scope: str, size: str) -> DataFrame:
     return sizes.withColumn("level", F.least(F.dense_rank().over(Window.partitionBy(scope).orderBy(F.desc("size"))), F.lit(3)))
 
 
-def islands(df: DataFrame, scope: list[str], order: list[str], same: list[str], name: str = "island") -> DataFrame:
-    """``df`` with a number (from 1) of each run of rows that agree in ``same``, in order within a scope."""
-    w = Window.partitionBy(*scope).orderBy(*order)
-    changed = F.lit(False)
+def islands(df: DataFrame, scope: list[str], order: list[str], same: list[str], name: str = "island", hot: bool = False) -> DataFrame:
+    """``df`` with a number (from 1) of each run of rows that agree in ``same``, in order within a scope.
+
+    A scope of the size of a document is one window. With ``hot`` scopes may be of any size: the rows are
+    sorted over range partitions, runs are numbered within each, and from one partition to the next only its
+    first and last row and the numbers of runs of its scopes are carried on.
+    """
+    if not hot:
+        w = Window.partitionBy(*scope).orderBy(*order)
+        return _numbered(df, w, same, F.row_number().over(w) == 1, lambda c: F.lag(c).over(w), name)
+    ranged = stored(df.repartitionByRange(*scope, *order).sortWithinPartitions(*scope, *order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    here = Window.partitionBy("_part").orderBy("_at")
+    held = F.struct(*scope, *same)
+    # One row a partition and one a scope of a partition: what is carried on.
+    last = ranged.groupBy("_part").agg(F.max_by(held, "_at").alias("_held"))
+    last = last.withColumn("_before", F.lag("_held").over(Window.orderBy("_part"))).select("_part", "_before")
+    rows = ranged.join(F.broadcast(last), "_part").withColumn("_prev", F.coalesce(F.lag(held).over(here), F.col("_before")))
+    fresh = F.col("_prev").isNull()
+    for c in (*scope, *same):
+        fresh = fresh | ~F.col(c).eqNullSafe(F.col(f"_prev.{c}"))
+    rows = rows.withColumn("_new", fresh.cast("int"))
+    inner = Window.partitionBy("_part", *scope).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    starts = rows.groupBy("_part", *scope).agg(F.sum("_new").alias("_n"))
+    upto = Window.partitionBy(*scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_past", F.coalesce(F.sum("_n").over(upto), F.lit(0))).where("_past > 0").drop("_n")
+    on = [F.col("r._part") == F.col("s._part"), *(F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in scope)]
+    both = rows.withColumn("_own", F.sum("_new").over(inner)).alias("r").join(starts.alias("s"), on, "left")
+    return both.select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col("r._own") + F.coalesce("s._past", F.lit(0))).alias(name))
+
+
+def _numbered(df: DataFrame, w: Window, same: list[str], first: Column, before: Callable[[str], Column], name: str) -> DataFrame:
+    changed = first
     for c in same:
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    first = F.row_number().over(w) == 1
-    marked = df.withColumn("_new", (first | changed).cast("int"))
-    return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+        changed = changed | ~F.col(c).eqNullSafe(before(c))
+    return df.withColumn("_new", changed.cast("int")).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def footnote_refs(spans: DataFrame, page: list[str], order: list[str]) -> DataFrame:
+    """``spans`` with ident: superscript markers joined to the definition of their page, numbered in order of reading.
+
+    Spans: text, superscript, is_definition, marker (of a definition). The first definition of a marker on a
+    page counts; numbers run through a scope, which is all of ``page`` but its last column, in the order
+    of first references. A marker without definition has none.
+    """
+    mark = T.trimmed(F.col("text"))
+    given = spans.where(F.col("is_definition") & F.col("marker").isNotNull()).groupBy(*page, F.col("marker").alias("_m")).agg(F.min(F.struct(*order)).alias("_o")).select(*page, "_m")
+    refs = spans.where(F.col("superscript") & ~F.col("is_definition")).withColumn("_m", mark).join(given, [*page, "_m"], "left_semi")
+    firsts = refs.groupBy(*page, "_m").agg(F.min(F.struct(*order)).alias("_o"))
+    # A scope's footnotes are as few as a document has.
+    ident = F.row_number().over(Window.partitionBy(*page[:-1]).orderBy(page[-1], "_o"))
+    idents = firsts.select(*page, "_m", ident.alias("ident"))
+    marked = spans.withColumn("_m", F.when(F.col("superscript") & ~F.col("is_definition"), mark))
+    return marked.join(idents, [*page, "_m"], "left").select(*spans.columns, "ident")
 
 
 def style_runs(spans: DataFrame, scope: list[str], order: list[str]) -> DataFrame:

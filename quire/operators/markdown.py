@@ -7,6 +7,7 @@ text gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -144,3 +145,55 @@ def footnotes(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     used = lines.select(key, F.explode(refs).alias("label"), F.lit(1).alias("r"), F.lit(0).alias("d"))
     made = lines.select(key, is_def.alias("label"), F.lit(0).alias("r"), F.lit(1).alias("d")).where("label <> ''")
     return used.unionByName(made).groupBy(key, "label").agg(F.sum("r").alias("refs"), F.sum("d").alias("definitions"))
+
+
+def legends(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, legend_no (from 1), image_id, first_line, lines: the legends of a text outside code."""
+    return _per_text(df, key, [text], {"legend_no": "int", "image_id": "long", "first_line": "int", "lines": "int"}, lambda x: [
+        (no, image, a, b - a) for no, (a, b, image) in enumerate(M.legend_blocks(x), 1)
+    ])
+
+
+def without_legends(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text without its legends."""
+    return _per_text(df, key, [text], {"text": "string"}, lambda x: [(M.strip_legends(x),)])
+
+
+def with_images(df: DataFrame, key: str, text: str, sources: str) -> DataFrame:
+    """key, text whose image lines name the files of ``sources`` (array of struct(image_id, src))."""
+
+    def parse(x: str, given: list | None) -> list:
+        return [(M.rewrite_images(x, {int(e["image_id"]): e["src"] for e in (given if given is not None else [])}),)]
+
+    return _per_text(df, key, [text, sources], {"text": "string"}, parse)
+
+
+def footnote_places(blocks: DataFrame, refs: DataFrame, key: str) -> DataFrame:
+    """key, label, chapter: where a footnote's definition goes, which is the chapter that first refers to it.
+
+    Blocks: key, chapter, start, stop. Refs: key, label, at (a position in the text). Labels nothing refers to have none.
+    """
+    a, b = refs.alias("a"), blocks.alias("b")
+    hits = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.at") >= F.col("b.start")) & (F.col("a.at") < F.col("b.stop")))
+    return hits.groupBy(F.col(f"a.{key}").alias(key), F.col("a.label").alias("label")).agg(F.min_by("b.chapter", "a.at").alias("chapter"))
+
+
+def contents(outline: DataFrame, key: str) -> DataFrame:
+    """key, heading_no, level, title, number, parent: a table of contents with numbers like 1.2 and the heading above.
+
+    Outline: key, heading_no, level, title. A level that is skipped counts as 0 in the number.
+    """
+    w = Window.partitionBy(key).orderBy("heading_no")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = outline
+    for n in range(1, 7):
+        # A heading starts the levels below it anew: the last heading of a higher level bounds what is counted.
+        rows = rows.withColumn(f"_from{n}", F.coalesce(F.max(F.when(F.col("level") < n, F.col("heading_no"))).over(upto), F.lit(0)))
+    for n in range(1, 7):
+        own = Window.partitionBy(key, f"_from{n}").orderBy("heading_no").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(f"_n{n}", F.count_if(F.col("level") == n).over(own))
+    number = F.array_join(F.transform(F.slice(F.array(*[F.col(f"_n{n}") for n in range(1, 7)]), F.lit(1), F.col("level")), lambda x: x.cast("string")), ".")
+    above = reduce(lambda c, n: c.when(F.col("level") == n, F.col(f"_up{n}")), range(2, 7), F.when(F.col("level") == 1, F.lit(None).cast("int")))
+    for n in range(2, 7):
+        rows = rows.withColumn(f"_up{n}", F.max(F.when(F.col("level") < n, F.col("heading_no"))).over(before))
+    return rows.select(key, "heading_no", "level", "title", number.alias("number"), above.cast("int").alias("parent"))

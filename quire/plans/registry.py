@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> text).
-MODULES: tuple[str, ...] = ("text", "store", "glossary", "markdown", "layout", "queue", "assembly")
+MODULES: tuple[str, ...] = ("text", "store", "glossary", "markdown", "layout", "queue", "assembly", "runs")
 
 
 def queries() -> dict[str, Callable]:

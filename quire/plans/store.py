@@ -73,7 +73,7 @@ def _dense(spark, folder):
 
 def _kinds(spark, folder):
     """Runs of chunks of one kind within a job."""
-    rows = lines.islands(_units(spark, folder, "job_id", "kind"), ["job_id"], ["id"], ["kind"])
+    rows = lines.islands(_units(spark, folder, "job_id", "kind"), ["job_id"], ["id"], ["kind"], hot=True)
     return rows.groupBy("job_id", "island", "kind").agg(F.count("*").alias("chunks"), F.min("id").alias("first_id"))
 
 

@@ -148,3 +148,54 @@ def translate(rows: DataFrame, key: str, text: str, provider: Provider = upper_p
             yield pdf[["k", "translated_text"]].rename(columns={"k": key})
 
     return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"`{key}` {kind}, translated_text string")
+
+
+def registered(registry: dict[str, Callable], name: str, what: str = "provider") -> Callable:
+    """The entry of a registry by name without regard to case; an unknown name raises with those there are."""
+    found = {k.lower(): v for k, v in registry.items()}.get(name.strip().lower())
+    if found is None:
+        raise ValueError(f"unknown {what} {name!r}; there are {', '.join(sorted(registry))}")
+    return found
+
+
+PROVIDERS: dict[str, Provider] = {"upper": upper_provider, "same": list}
+
+
+def log_lines(events: DataFrame, secrets: list[str], level: str = "level", message: str = "message") -> DataFrame:
+    """``value``: one JSON object a row of a log, nulls left out, the given secrets and keys in messages masked."""
+    rest = [c for c in events.columns if c not in (level, message)]
+    return events.select(F.to_json(F.struct(F.col(level).alias("level"), T.redacted(F.col(message), secrets).alias("message"), *rest)).alias("value"))
+
+
+def save_glossary(entries: DataFrame, path: str, scope: str) -> None:
+    """One JSON document a scope: schema_version, and entries by source."""
+    fields = ("source", "target", "count", "status", "origin", "note")
+    listed = F.array_sort(F.collect_list(F.struct(*fields))).alias("entries")
+    files = entries.groupBy(scope).agg(listed).select(scope, F.to_json(F.struct(F.lit(1).alias("schema_version"), "entries"), {"ignoreNullFields": "false"}).alias("value"))
+    files.write.mode("overwrite").partitionBy(scope).text(path)
+
+
+def save_figures(figures: DataFrame, path: str, scope: str) -> None:
+    """One JSON document a scope: schema_version, and figures by image_id."""
+    rest = [c for c in figures.columns if c not in (scope, "image_id")]
+    listed = F.array_sort(F.collect_list(F.struct("image_id", *rest))).alias("figures")
+    files = figures.groupBy(scope).agg(listed).select(scope, F.to_json(F.struct(F.lit(1).alias("schema_version"), "figures")).alias("value"))
+    files.write.mode("overwrite").partitionBy(scope).text(path)
+
+
+def archive(spark: SparkSession, path: str, folder: str, stamp: str) -> str:
+    """Copy a state table to ``folder``/``stamp``; refused where that is there already."""
+    target = f"{folder}/{stamp}"
+    spark.read.parquet(path).write.mode("errorifexists").parquet(target)
+    return target
+
+
+def figure_violations(figures: DataFrame) -> DataFrame:
+    """path, image_id, rule of figure entries that break one: kind, sizes, as many boxes as labels, boxes of four values."""
+    rules = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("kind").isin("vector", "raster"), F.lit(False)), F.lit("kind")),
+        F.when((F.coalesce("width", F.lit(0)) <= 0) | (F.coalesce("height", F.lit(0)) <= 0), F.lit("size")),
+        F.when(F.coalesce(F.size("labels"), F.lit(0)) != F.coalesce(F.size("label_boxes"), F.lit(0)), F.lit("labels")),
+        F.when(F.exists(F.coalesce("label_boxes", F.array().cast("array<array<double>>")), lambda b: F.size(b) != 4), F.lit("boxes")),
+    ))
+    return figures.select("path", "image_id", F.explode(rules).alias("rule"))
