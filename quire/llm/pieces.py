@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,44 +104,76 @@ def _merged(ends: list[int], power: list[int], limit: int, room: int) -> list[in
     return [high[i] for i in range(n) if alive[i]]
 
 
-def _placed(text: str, begin: int, end: int, limit: int, least: int, overlap: int) -> list[int]:
-    """Cuts of a part of the text over its words with the fewest pieces below ``least``, then the fewest, the strongest, the most even."""
-    found, force = _atoms(text, limit, 1, begin, end)
-    n = len(found)
-    at = [begin, *found]
-    starts = [_overlap_start(text, x, overlap, 0) if overlap and 0 < x < len(text) else x for x in at]
-    best: list[tuple | None] = [(0, 0, 0, 0, -1), *[None] * n]
-    for j in range(1, n + 1):
-        for i in range(j - 1, -1, -1):
-            if at[j] - at[i] > limit:
-                break
-            size = at[j] - starts[i]
-            if best[i] is None or (size > limit and i < j - 1):
-                continue
-            short, count, weak, uneven, _ = best[i]
-            cost = (short + (size < least), count + 1, weak + PARAGRAPH - force[j - 1], uneven + size * size, i)
-            if best[j] is None or cost < best[j]:
-                best[j] = cost
-    out, j = [], n
+class _Words:
+    """Where the words of a text begin, and all its boundaries with their strength, found once and only if asked for."""
+
+    def __init__(self, text: str, limit: int) -> None:
+        self.text, self.limit = text, limit
+
+    @cached_property
+    def begins(self) -> list[int]:
+        return [0, *(m.end() for m in _word.finditer(self.text))]
+
+    @cached_property
+    def cuts(self) -> tuple[list[int], list[int]]:
+        return _atoms(self.text, self.limit, 1)
+
+    def overlap(self, core: int, overlap: int, first: int) -> int:
+        """The word beginning nearest to ``overlap`` characters before ``core``, not before ``first``; ``core`` if there is none."""
+        wanted = core - overlap
+        if wanted <= first and (first == 0 or self.text[first - 1].isspace()):
+            return first
+        k = bisect_left(self.begins, max(wanted, first))
+        near = [m for m in self.begins[max(0, k - 1) : k + 1] if first <= m < core]
+        return min(near, key=lambda m: (abs(m - wanted), m), default=core)
+
+
+def _placed(words: _Words, begin: int, end: int, least: int, overlap: int, ends: list[int], force: list[int]) -> list[int]:
+    """Cuts of a part of the text over some of its boundaries, the last being ``end``.
+
+    The fewest pieces below ``least``, then the fewest, the strongest, the most even ones. Costs are one
+    integer: 12 bits of short pieces, 12 of pieces, 13 of weakness, 25 of unevenness.
+    """
+    limit = words.limit
+    at = np.array([begin, *ends], np.int64)
+    starts = np.array([words.overlap(x, overlap, 0) if overlap and 0 < x < len(words.text) else x for x in at.tolist()], np.int64)
+    weak = (np.int64(1) << 38) + ((PARAGRAPH - np.array(force, np.int64)) << 25)
+    low = np.searchsorted(at, at - limit)
+    best, back = np.full(len(at), _NEVER), np.zeros(len(at), np.int64)
+    best[0] = 0
+    for j in range(1, len(at)):
+        i = min(low[j], j - 1)
+        size = at[j] - starts[i:j]
+        cost = best[i:j] + ((size < least).astype(np.int64) << 50) + weak[j - 1] + (size * 64 // limit) ** 2
+        # A word larger than what is left beside an overlap goes without one.
+        cost[:-1][size[:-1] > limit] = _NEVER
+        back[j] = i + int(cost.argmin())
+        best[j] = min(cost[back[j] - i], _NEVER)
+    out, j = [], len(at) - 1
     while j > 0:
-        out.append(at[j])
-        j = best[j][-1]
+        out.append(int(at[j]))
+        j = back[j]
     return out[::-1]
 
 
-def _recut(text: str, a: int, b: int, limit: int, least: int, overlap: int, late: bool = False) -> int | None:
+_NEVER = np.int64(1) << 61
+
+
+def _recut(words: _Words, a: int, b: int, least: int, overlap: int, late: bool = False) -> int | None:
     """Where to cut a..b in two pieces of which neither is short nor too long.
 
     The strongest boundary, then the one nearest the middle, then the first or, if ``late``, the last.
     """
-    first = _overlap_start(text, a, overlap, 0) if a and overlap else a
+    limit = words.limit
+    first = words.overlap(a, overlap, 0) if a and overlap else a
     low, high = max(a + 1, first + least, b - limit), min(b - 1, first + limit, b - max(0, least - 2 * overlap))
-    for level in (SENTENCE, CLAUSE, WORD):
-        near = [(-force, abs(2 * at - a - b), -at if late else at, at) for at, force in boundaries(text, level, a, b) if low <= at <= high]
-        for *_, at in sorted(near):
-            start = _overlap_start(text, at, overlap, max(a, b - limit)) if overlap else at
-            if b - start >= least:
-                return at
+    ends, force = words.cuts
+    x, y = bisect_left(ends, low), bisect_right(ends, high)
+    near = [(-f, abs(2 * at - a - b), -at if late else at, at) for at, f in zip(ends[x:y], force[x:y]) if f != FORCED]
+    for *_, at in sorted(near):
+        start = words.overlap(at, overlap, max(a, b - limit)) if overlap else at
+        if b - start >= least:
+            return at
     return None
 
 
@@ -148,23 +183,26 @@ def _can_be(size: int, limit: int, least: int, overlap: int) -> bool:
     return few * least <= size + (few - 1) * overlap
 
 
-def _starts(text: str, cuts: list[int], low: int, high: int, limit: int, overlap: int) -> list[int]:
+def _starts(words: _Words, cuts: list[int], low: int, high: int, overlap: int) -> list[int]:
     """Where the pieces low..high-1 begin, with their overlap."""
     out = []
     before = 0
     for k in range(max(0, low - 1), high):
         core = cuts[k - 1] if k else 0
-        before = _overlap_start(text, core, overlap, max(before, cuts[k] - limit)) if core and overlap else core
+        before = words.overlap(core, overlap, max(before, cuts[k] - words.limit)) if core and overlap else core
         if k >= low:
             out.append(before)
     return out
 
 
-def _repaired(text: str, cuts: list[int], limit: int, least: int, overlap: int) -> list[int]:
-    """The cuts after short pieces were merged with a neighbour and both cut again, as far as that helps."""
+def _repaired(words: _Words, cuts: list[int], ends: list[int], power: list[int], least: int, overlap: int) -> list[int]:
+    """The cuts after short pieces were merged with a neighbour and both cut again, as far as that helps.
+
+    ``ends`` and ``power``: the atoms that were merged, over which cuts are placed anew before words are used.
+    """
 
     def short(cuts: list[int], low: int, high: int) -> int:
-        return sum(stop - start < least for start, stop in zip(_starts(text, cuts, low, high, limit, overlap), cuts[low:high]))
+        return sum(stop - start < least for start, stop in zip(_starts(words, cuts, low, high, overlap), cuts[low:high]))
 
     def ways(k: int) -> Iterator[tuple[int, int, list[int]]]:
         """First piece and end of a few pieces, and other cuts for them."""
@@ -172,7 +210,7 @@ def _repaired(text: str, cuts: list[int], limit: int, least: int, overlap: int)
             if first < 0 or first + 1 >= len(cuts):
                 continue
             # Of two cuts alike the short piece gets more; then the pieces beside are evened out.
-            at = _recut(text, cuts[first - 1] if first else 0, cuts[first + 1], limit, least, overlap, first == k)
+            at = _recut(words, cuts[first - 1] if first else 0, cuts[first + 1], least, overlap, first == k)
             if at is None:
                 continue
             low, high = max(0, first - 1), min(len(cuts), first + 3)
@@ -180,13 +218,18 @@ def _repaired(text: str, cuts: list[int], limit: int, least: int, overlap: int)
             begin = cuts[low - 1] if low else 0
             for beside in (first - 1 - low, first + 1 - low):
                 if 0 <= beside < len(new) - 1:
-                    even = _recut(text, new[beside - 1] if beside else begin, new[beside + 1], limit, least, overlap)
+                    even = _recut(words, new[beside - 1] if beside else begin, new[beside + 1], least, overlap)
                     new[beside] = new[beside] if even is None else even
             yield low, high, new
         low, high = max(0, k - REACH), min(len(cuts), k + REACH + 1)
-        begin = cuts[low - 1] if low else 0
-        if _can_be(cuts[high - 1] - begin, limit, least, overlap) or short(cuts, low, high) > 1:
-            yield low, high, _placed(text, begin, cuts[high - 1], limit, least, overlap)
+        begin, end = cuts[low - 1] if low else 0, cuts[high - 1]
+        # As sizes go, so few pieces must be short.
+        fewest = 0 if _can_be(end - begin, words.limit, least, overlap) else 1
+        for at, force in ((ends, power), words.cuts):
+            if short(cuts, low, high) <= fewest:
+                return
+            x, y = bisect_right(at, begin), bisect_left(at, end)
+            yield low, high, _placed(words, begin, end, least, overlap, [*at[x:y], end], [*force[x:y], PARAGRAPH])
 
     k = 0
     while k < len(cuts):
@@ -202,24 +245,6 @@ def _repaired(text: str, cuts: list[int], limit: int, least: int, overlap: int)
     return cuts
 
 
-def _overlap_start(text: str, core: int, overlap: int, first: int) -> int:
-    """The word beginning nearest to ``overlap`` characters before ``core``, not before ``first``."""
-    wanted = core - overlap
-    if wanted <= first and (first == 0 or text[first - 1].isspace()):
-        return first
-    reach = 32
-    while True:
-        a, b = max(first, wanted - reach), min(core, wanted + reach)
-        near = [m.end() for m in _word.finditer(text, max(0, a - 1), b) if a <= m.end() < core]
-        if a == 0:
-            near.append(0)
-        if near:
-            return min(near, key=lambda m: (abs(m - wanted), m))
-        if a == first and b == core:
-            return core
-        reach *= 4
-
-
 def split(text: str, limit: int, least: int = 0, overlap: int = 0) -> list[tuple[int, int, int]]:
     """Pieces as (start, core start, end): the text from start to core start repeats the piece before.
 
@@ -231,12 +256,11 @@ def split(text: str, limit: int, least: int = 0, overlap: int = 0) -> list[tuple
         return [(0, 0, len(text))]
     overlap = max(0, min(overlap, limit - 1))
     ends, power = _atoms(text, limit, limit - overlap)
+    words = _Words(text, limit)
     cuts = _merged(ends, power, limit, limit - overlap)
-    return _with_overlap(text, _repaired(text, cuts, limit, least, overlap) if least > 0 else cuts, limit, overlap)
-
-
-def _with_overlap(text: str, cuts: list[int], limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    return list(zip(_starts(text, cuts, 0, len(cuts), limit, overlap), [0, *cuts], cuts))
+    if least > 0:
+        cuts = _repaired(words, cuts, ends, power, least, overlap)
+    return list(zip(_starts(words, cuts, 0, len(cuts), overlap), [0, *cuts], cuts))
 
 
 def has_long_run(text: str, limit: int) -> bool:
