@@ -58,7 +58,24 @@ def _missed(spark, folder):
     return glossary.glossary_misses(units, words, ["all"], "id", "source_text", "translated_text").select("id", "source")
 
 
+def _own_terms(spark, folder):
+    """Two words of each job's first text as its glossary: in how many texts of the job they stand."""
+    units = _units(spark, folder)
+    first = units.groupBy("job_id").agg(F.min_by("source_text", "id").alias("t"))
+    words = first.select("job_id", F.regexp_extract("t", r"([A-Za-z]+ [A-Za-z]+)", 1).alias("source"), F.lit("x").alias("target")).where("source <> ''")
+    return glossary.terms_in_texts(units, words, ["job_id"], "id", "source_text").groupBy("job_id", "source").agg(F.count("*").alias("texts"))
+
+
+def _planted_markers(spark, folder):
+    """Texts against themselves without some of their markers."""
+    c = F.col("text")
+    fewer = F.when(F.col("doc_id") % 3 == 0, F.replace(c, F.lit("**"), F.lit(""))).when(F.col("doc_id") % 3 == 1, F.replace(c, F.lit("`"), F.lit(""))).otherwise(F.replace(c, F.lit("[^"), F.lit("[")))
+    return glossary.marker_mismatches(table(spark, folder, "documents").select("doc_id", "text", fewer.alias("fewer")), "doc_id", "text", "fewer")
+
+
 QUERIES = {
+    "own_terms": _own_terms,
+    "planted_markers": _planted_markers,
     "effective_glossary": _approved,
     "glossary_signature": lambda s, d: glossary.signature(_approved(s, d), "job_id"),
     "merged_glossary": _merged,
@@ -93,6 +110,12 @@ SQL = {
     "glossary_misses": "WITH " + _U + f""" SELECT id, en AS source FROM u JOIN lexicon ON {_PRESENT.format('en', 'en')}
  WHERE translated_text IS NOT NULL AND tr <> '' AND NOT contains(lower(translate(translated_text, 'Iİ', 'ıi')), lower(translate(left(tr, greatest(4, length(tr) - 2)::BIGINT), 'Iİ', 'ıi')))""",
     "job_terms": _A + ", " + _U + f" SELECT id, eff.source, eff.target FROM u JOIN eff ON u.job_id = eff.job_id AND {_PRESENT.format('eff.source', 'eff.source')}",
+    "own_terms": "WITH " + _U + r""", f AS (SELECT job_id, regexp_extract(arg_min(source_text, id), '([A-Za-z]+ [A-Za-z]+)', 1) AS source FROM u GROUP BY job_id)
+ SELECT u.job_id, f.source, count(*) AS texts FROM u JOIN f ON u.job_id = f.job_id AND f.source <> '' AND """ + _PRESENT.format("f.source", "f.source") + " GROUP BY ALL",
+    "planted_markers": """WITH u AS (SELECT doc_id, text AS source_text, CASE doc_id % 3 WHEN 0 THEN replace(text, '**', '') WHEN 1 THEN replace(text, '`', '') ELSE replace(text, '[^', '[') END AS translated_text FROM documents WHERE text IS NOT NULL),
+ m AS (SELECT doc_id, [(length(source_text) - length(replace(source_text, p, ''))) // length(p) FOR p IN ['**', '*', '`', '[^']] AS s,
+ [(length(translated_text) - length(replace(translated_text, p, ''))) // length(p) FOR p IN ['**', '*', '`', '[^']] AS t FROM u)
+ SELECT doc_id, unnest(list_filter([CASE WHEN s[1] <> t[1] THEN '**' END, CASE WHEN s[2] - 2 * s[1] <> t[2] - 2 * t[1] THEN '*' END, CASE WHEN s[3] <> t[3] THEN '`' END, CASE WHEN s[4] <> t[4] THEN '[^' END], lambda x: x IS NOT NULL)) AS marker FROM m""",
     "marker_mismatches": "WITH " + _U + """, m AS (SELECT id, [(length(source_text) - length(replace(source_text, p, ''))) // length(p) FOR p IN ['**', '*', '`', '[^']] AS s,
  [(length(translated_text) - length(replace(translated_text, p, ''))) // length(p) FOR p IN ['**', '*', '`', '[^']] AS t FROM u WHERE translated_text IS NOT NULL AND source_text IS NOT NULL)
  SELECT id, unnest(list_filter([CASE WHEN s[1] <> t[1] THEN '**' END, CASE WHEN s[2] - 2 * s[1] <> t[2] - 2 * t[1] THEN '*' END, CASE WHEN s[3] <> t[3] THEN '`' END, CASE WHEN s[4] <> t[4] THEN '[^' END], lambda x: x IS NOT NULL)) AS marker FROM m""",

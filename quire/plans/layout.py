@@ -67,9 +67,11 @@ def _row_checks(spark, folder):
     return rows.groupBy(*PAGE).agg(F.max("row").alias("rows"), F.count("*").alias("lines"))
 
 
-def _overlaps(spark, folder):
-    """Painted boxes that still overlap after they were separated: none may."""
-    moved = layout.separate(_boxes(spark, folder).withColumn("painted", F.lit(True)), PAGE, "unit", "painted").where("not dropped")
+def _overlaps(spark, folder, separated=True):
+    """Painted boxes that overlap; once they are separated none may."""
+    moved = _boxes(spark, folder)
+    if separated:
+        moved = layout.separate(moved.withColumn("painted", F.lit(True)), PAGE, "unit", "painted").where("not dropped")
     a, b = moved.alias("a"), moved.alias("b")
     both = a.join(b, [F.col("a.job_id") == F.col("b.job_id"), F.col("a.page") == F.col("b.page"), F.col("a.unit") < F.col("b.unit")])
     box = lambda t: F.struct(*[F.col(f"{t}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
@@ -87,6 +89,7 @@ QUERIES = {
     "line_groups": lambda s, d: layout.group_lines(_boxes(s, d), PAGE, "unit").groupBy(*PAGE).agg(F.countDistinct("grp").alias("groups"), F.count("*").alias("lines")),
     "text_rows": _row_checks,
     "overlaps_left": _overlaps,
+    "overlaps_before": lambda s, d: _overlaps(s, d, separated=False),
     "shared_scales": lambda s, d: layout.shared_scales(_boxes(s, d).withColumn("natural", F.col("scale")), ["size"], "unit", 0.6).select("unit", "scale"),
     "heading_tiers": lambda s, d: lines.heading_tiers(_boxes(s, d), "job_id", "size"),
     "dominant_sizes": lambda s, d: lines.dominant_size(_boxes(s, d).withColumn("chars", F.length("text")), ["job_id"], "size", "chars"),
@@ -128,6 +131,8 @@ SQL = {
  SELECT unit, block, CASE WHEN isb THEN 'below' ELSE 'above' END AS position FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY NOT isb, CASE WHEN isb THEN below ELSE above END, block) AS k FROM r) WHERE k = 1""",
     "figure_totals": _B + """, f AS (SELECT job_id, unit, unit % 5 AS page, unit % 7 AS labels, unit % 3 = 0 AS raster FROM b)
  SELECT job_id, count(*) AS figures, count_if(NOT raster) AS vector, count_if(raster) AS raster, CAST(sum(labels) AS BIGINT) AS labels, count(DISTINCT page) AS pages, arg_max(unit, (labels, -unit)) AS most_labels FROM f GROUP BY job_id""",
+    "overlaps_before": _B + """ SELECT a.unit, c.unit AS other FROM b a JOIN b c ON a.job_id = c.job_id AND a.page = c.page AND a.unit < c.unit
+ WHERE greatest(least(a.x1, c.x1) - greatest(a.x0, c.x0), 0) * greatest(least(a.y1, c.y1) - greatest(a.y0, c.y0), 0) > 1e-6""",
     "overlaps_left": "SELECT entry_id AS unit, entry_id AS other FROM overlay_review WHERE false",
     "shared_scales": _shared_sql(0.6, 16),
     "heading_tiers": _B + " SELECT DISTINCT job_id, round_even(size * 2, 0) / 2 AS size, least(dense_rank() OVER (PARTITION BY job_id ORDER BY round_even(size * 2, 0) DESC), 3)::INT AS level FROM b",

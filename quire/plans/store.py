@@ -71,6 +71,22 @@ def _dense(spark, folder):
     return store.dense_violations(units.withColumn("position", F.col("sub_index") + 1), "parent_block_id", "position")
 
 
+def _planted_states(spark, folder):
+    """Broken rules of units of which some are broken on purpose, by a rule of their ids."""
+    u = _units(spark, folder)
+    broken = {
+        "status": F.when(u.id % 7 == 0, "ODD").otherwise(u.status), "char_count": u.char_count + (u.id % 5 == 0).cast("int"),
+        "content_hash": F.when(u.id % 11 != 0, u.content_hash), "sub_index": F.when(u.id % 13 == 0, F.lit(9)).otherwise(u.sub_index),
+    }
+    return store.state_violations(u.withColumns(broken))
+
+
+def _planted_positions(spark, folder):
+    """Blocks whose pieces aren't dense, some of them on purpose."""
+    units = _units(spark, folder, "parent_block_id", "sub_index").where("parent_block_id is not null")
+    return store.dense_violations(units.withColumn("position", F.col("sub_index") + 1 + (F.col("id") % 5 == 0).cast("int")), "parent_block_id", "position")
+
+
 def _kinds(spark, folder):
     """Runs of chunks of one kind within a job."""
     rows = lines.islands(_units(spark, folder, "job_id", "kind"), ["job_id"], ["id"], ["kind"], hot=True)
@@ -104,6 +120,8 @@ QUERIES = {
     "ordered_units": _ordered,
     "state_violations": lambda s, d: store.state_violations(_units(s, d)),
     "dense_violations": _dense,
+    "planted_states": _planted_states,
+    "planted_positions": _planted_positions,
     "assembled_groups": _assembled,
     "billed_shares": _shares,
     "to_send": lambda s, d: store.to_send(_units(s, d, "job_id", "status", "next_attempt_at", "translatable", "char_count"), _now()),
@@ -117,6 +135,15 @@ _READY = f"status = 'PENDING' AND (next_attempt_at IS NULL OR next_attempt_at <=
 _P = _U + ", p AS (SELECT *, CAST(floor(id / 10) AS BIGINT) AS page FROM u)"
 _TRIMMED = r"regexp_replace({}, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
 
+_RULES = """ SELECT id, unnest(list_filter([
+ CASE WHEN (status = 'COMPLETED') <> (translated_text IS NOT NULL) THEN 'completed_has_text' END,
+ CASE WHEN next_attempt_at IS NOT NULL AND status <> 'PENDING' THEN 'attempt_only_pending' END,
+ CASE WHEN NOT coalesce(status IN ('PENDING', 'PROCESSING', 'COMPLETED', 'FAILED'), false) THEN 'known_status' END,
+ CASE WHEN (parent_block_id IS NULL) <> (sub_index IS NULL) OR (sub_index IS NULL) <> (sub_count IS NULL) THEN 'split_columns' END,
+ CASE WHEN sub_index >= sub_count THEN 'split_order' END,
+ CASE WHEN char_count IS DISTINCT FROM length(source_text) THEN 'char_count' END,
+ CASE WHEN content_hash IS DISTINCT FROM sha256(source_text) THEN 'content_hash' END], lambda x: x IS NOT NULL)) AS rule """
+
 SQL = {
     "unit_records": _U + " SELECT id, job_id, kind, status, char_count, updated_at FROM u",
     "state_counts": _U + f""" SELECT job_id, count_if(status = 'PENDING') AS pending, count_if(status = 'PROCESSING') AS processing, count_if(status = 'COMPLETED') AS completed,
@@ -141,14 +168,11 @@ SQL = {
     "page_texts": _P + """ SELECT job_id, page, count_if(translatable)::INT AS units, sha256(coalesce(string_agg(source_text, chr(10) ORDER BY id) FILTER (translatable), '')) AS hash FROM p GROUP BY ALL""",
     "ordered_page": _U + " SELECT id, job_id FROM u WHERE id > 100 ORDER BY id LIMIT 200",
     "ordered_units": _U + ", o AS (SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY id) AS position FROM u) SELECT job_id, id, (position - 1) // 200 AS page, position FROM o",
-    "state_violations": _U + """ SELECT id, unnest(list_filter([
- CASE WHEN (status = 'COMPLETED') <> (translated_text IS NOT NULL) THEN 'completed_has_text' END,
- CASE WHEN next_attempt_at IS NOT NULL AND status <> 'PENDING' THEN 'attempt_only_pending' END,
- CASE WHEN NOT coalesce(status IN ('PENDING', 'PROCESSING', 'COMPLETED', 'FAILED'), false) THEN 'known_status' END,
- CASE WHEN (parent_block_id IS NULL) <> (sub_index IS NULL) OR (sub_index IS NULL) <> (sub_count IS NULL) THEN 'split_columns' END,
- CASE WHEN sub_index >= sub_count THEN 'split_order' END,
- CASE WHEN char_count IS DISTINCT FROM length(source_text) THEN 'char_count' END,
- CASE WHEN content_hash IS DISTINCT FROM sha256(source_text) THEN 'content_hash' END], lambda x: x IS NOT NULL)) AS rule FROM u""",
+    "state_violations": _U + _RULES + "FROM u",
+    "planted_states": _U + """, v AS (SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN 'ODD' ELSE status END AS status, char_count + (id % 5 = 0)::INT AS char_count,
+ CASE WHEN id % 11 <> 0 THEN content_hash END AS content_hash, CASE WHEN id % 13 = 0 THEN 9 ELSE sub_index END AS sub_index) FROM u)""" + _RULES + "FROM v",
+    "planted_positions": _U + """, p AS (SELECT parent_block_id, sub_index + 1 + (id % 5 = 0)::INT AS p FROM u WHERE parent_block_id IS NOT NULL)
+ SELECT parent_block_id, count(*) AS n, max(p) AS highest FROM p GROUP BY 1 HAVING min(p) <> 1 OR max(p) <> count(*) OR count(DISTINCT p) <> count(*)""",
     "dense_violations": _U + """ SELECT parent_block_id, count(*) AS n, max(sub_index) + 1 AS highest FROM u WHERE parent_block_id IS NOT NULL GROUP BY 1
  HAVING min(sub_index) <> 0 OR max(sub_index) + 1 <> count(*) OR count(DISTINCT sub_index) <> count(*)""",
     "assembled_groups": _U + """ SELECT job_id, min(id) AS group_id, parent_block_id, list(id ORDER BY id) AS chunk_ids, count(CASE WHEN translatable THEN translated_text ELSE source_text END)::INT AS translated,
