@@ -50,3 +50,34 @@ def test_broken_pairs_uses_the_mark(spark):
     rows = [(i, "fragment", SOURCE, FULL, AT) for i in range(40)] + [(100, None, SOURCE, "Mavi kedi.", AT), (101, "kept_original", "Other words", "Mavi kedi uyudu.", AT), (102, None, "Some other words stand here.", "Mavi kedi uyudu ve sonra gitti.", AT)]
     got = {tuple(r) for r in P.broken_pairs(frame(spark, rows), lexicon).collect()}
     assert (100, "truncated") in got
+
+
+def test_equal_texts_of_many_sources_go_on_across_partitions(spark):
+    rows = [(i, f"s{i}", "Aynı metin burada durur") for i in range(2000)] + [(5000, "x", "Aynı metin burada durur ve uzar")]
+    got = P.neighbours(sides(spark, rows).repartition(7)).collect()
+    assert len(got) == 2001 and {r.entry_id for r in got if r.shortened} == set(range(2000))
+
+
+def test_a_template_is_found_beyond_the_neighbours(spark):
+    lexicon = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(WORDS.items())], "word_id int, en string, tr string")
+    rows = [(i, "fragment", SOURCE, FULL, AT) for i in range(40)]
+    # What stands between the two in the order of the texts has but the first word in common with them.
+    rows += [(100 + i, None, f"The deep river lost {i} bells.", f"Kurallarım d{i:03} kayıp.", AT) for i in range(60)]
+    rows += [(1, None, "The old wheel sold the map of Selrin.", "Kurallarım araba geçen satırları işlememe izin vermiyor.", AT), (2, None, "New bells found rivers near Tannes.", "Kurallarım zil geçen satırları işlememe izin vermiyor.", AT)]
+    rows = [(k + 1000 * (k < 40 and s == SOURCE), r, s, t, at) for k, r, s, t, at in rows]
+    got = dict(tuple(r) for r in P.broken_pairs(frame(spark, rows), lexicon).collect())
+    assert got[1] == got[2] == "refusal" and "refusal" not in {got.get(100 + i) for i in range(60)}
+
+
+def test_the_search_agrees_with_comparing_all(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = sorted({(" ".join(rng.choices(["the", "old", "map", "red", "bell", "sun", "of"], k=3)), " ".join(rng.choices("abc", k=rng.randint(1, 6)))) for _ in range(150)})
+    near = [P._Near(b, s) for s, b in rows]
+    for i, x in enumerate(near):
+        for y in near[:i]:
+            x.compare(y)
+    df = spark.createDataFrame([(s, b, " ".join(P.fold(b)[:4])) for s, b in rows], "s string, bare string, head string")
+    got = {tuple(r) for r in P.begins_alike(df, df).collect()}
+    assert got == {(x.source, x.bare) for x in near if x.like >= P.TEMPLATE} and 0 < len(got) < len(rows)
