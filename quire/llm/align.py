@@ -137,9 +137,33 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[start], np.diff(np.append(start, len(keys)))
 
 
-def _once(keys: np.ndarray) -> np.ndarray:
-    values, counts = _counted(keys)
-    return values[counts == 1]
+def _surest(left: np.ndarray, right: np.ndarray, word: np.ndarray, conf: np.ndarray, n_right: int, n_words: int) -> np.ndarray:
+    """Sorted by (left, right, word): of each of them the number of the row of most confidence, the first of several."""
+    if not len(left):
+        return np.zeros(0, np.int64)
+    if (int(left.max()) + 1) * n_right * n_words < 1 << 62:
+        key = (left * n_right + right) * n_words + word
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+    else:
+        order = np.lexsort((word, right, left))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.logical_or.reduce([v[order[1:]] != v[order[:-1]] for v in (left, right, word)])
+    first = np.flatnonzero(fresh)
+    sure = conf[order]
+    top = np.flatnonzero(sure == np.repeat(np.maximum.reduceat(sure, first), np.diff(np.append(first, len(sure)))))
+    run = (np.cumsum(fresh) - 1)[top]
+    return order[top[np.concatenate([[True], run[1:] != run[:-1]])]]
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number of each key, equal ones alike, and how often it stands."""
+    order = np.argsort(keys)
+    fresh = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]) if len(keys) else np.zeros(0, bool)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return number, np.bincount(number)[number]
 
 
 def _spans(cut: np.ndarray) -> np.ndarray:
@@ -188,33 +212,37 @@ def match(source: list[list[str]], target: list[list[str]], table: Table, least:
     order = np.argsort(key, kind="stable")
     key, j_of, j_times = key[order], s_of[order], s_times[order]
     wanted = group_t[x_of] * n_words + x_id
-    a, b = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
-    n = b - a
+    ends_at = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)) if len(key) else np.zeros(0, np.int64)
+    starts_at = np.append(0, ends_at[:-1]) if len(key) else ends_at
+    runs = np.searchsorted(key[starts_at], wanted)
+    meets = runs < len(starts_at)
+    meets[meets] = key[starts_at[runs[meets]]] == wanted[meets]
+    a, n = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+    a[meets], n[meets] = starts_at[runs[meets]], (ends_at - starts_at)[runs[meets]]
     x = np.repeat(np.arange(len(wanted)), n)
     y = np.repeat(a, n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+    # The surest rendering of a source word in a pair counts.
+    picked = _surest(j_of[y], x_of[x], x_id[x], x_sure[x], len(group_t) + 1, n_words)
+    x, y = x[picked], y[picked]
     left, right, word, t_word, conf = j_of[y], x_of[x], x_id[x], x_word[x], x_sure[x]
     most_s, most_t = j_times[y], x_times[x]
-    # The surest rendering of a source word in a pair counts.
     pair = left * (len(group_t) + 1) + right
-    order = np.lexsort((-conf, word, pair))
-    left, right, word, t_word, conf, pair, most_s, most_t = (v[order] for v in (left, right, word, t_word, conf, pair, most_s, most_t))
-    fresh = np.ones(len(pair), bool)
-    fresh[1:] = (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])
-    left, right, word, t_word, conf, pair, most_s, most_t = (v[fresh] for v in (left, right, word, t_word, conf, pair, most_s, most_t))
     gain = conf * weight[word]
     edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
     total = np.add.reduceat(gain, edge) if len(edge) else np.zeros(0)
     # Anchors: unknown words and numbers that stand in one sentence of either side of the group.
     rare = ((known[word] < 0) | number[word]) & (conf == 1.0)
-    gw = group_s[left] * n_words + word if len(left) else word
-    same = rare.copy()
-    same[rare] = np.isin(gw[rare], _once(key)) & np.isin(gw[rare], _once(wanted))
+    met = np.bincount(a[meets], minlength=len(key) + 1)  # how often a source word is wanted, at its first place
+    same = rare & (n[x] == 1) & (met[a[x]] == 1)
     anchor = np.add.reduceat(np.where(same, gain, 0.0), edge) if len(edge) else np.zeros(0)
     # The weight of a sentence: its known words, and unknown ones that stand on both sides.
-    shared = np.isin(key, wanted) | (known[key % n_words] >= 0)
-    heavy_s = np.bincount(j_of, np.where(shared, weight[key % n_words], 0), len(group_s))
+    word_of = key % n_words
+    shared = np.repeat(met[starts_at] > 0, ends_at - starts_at) | (known[word_of] >= 0)
+    heavy_s = np.bincount(j_of, np.where(shared, weight[word_of], 0), len(group_s))
     best = np.zeros(len(t_id))
-    np.maximum.at(best, rows, np.where(np.isin(wanted, key) | (known[x_id] >= 0), x_sure * weight[x_id], 0))
+    some = np.flatnonzero(count)
+    if len(some):
+        best[some] = np.maximum.reduceat(np.where(meets | (known[x_id] >= 0), x_sure * weight[x_id], 0), (np.cumsum(count) - count)[some])
     heavy_t = np.bincount(t_of, best, len(group_t))
     ends = np.concatenate([edge, [len(pair)]])
     left_p, right_p = left[edge], right[edge]
@@ -316,10 +344,18 @@ def align_block(block: Block, use_chain: bool = True, use_program: bool = True,
     kept = np.flatnonzero(alone | (block.score >= PLENTY) & (block.score >= PLENTY_SHARE * light))
     words = _spans(block.cut[kept])
     size = block.cut[kept, 1] - block.cut[kept, 0]
-    ends = np.cumsum(size).tolist()
-    begins = [0, *ends[:-1]]
-    word_s, word_t, word_w = block.word_s[words].tolist(), block.word_t[words].tolist(), block.word_w[words].tolist()
-    most_s, most_t = block.most_s[words].tolist(), block.most_t[words].tolist()
+    # A word that stands in no more pairs than it has places in its sentences is never used up; only the others are tracked.
+    of = np.repeat(np.arange(len(kept)), size)
+    word_s, often_s = _numbered(block.word_s[words])
+    word_t, often_t = _numbered(block.word_t[words])
+    scarce = (often_s > block.most_s[words]) | (often_t > block.most_t[words])
+    free = np.bincount(of, np.where(scarce, 0.0, block.word_w[words]), len(kept)).tolist()
+    words, of = words[scarce], of[scarce]
+    word_s, word_t, word_w = word_s[scarce].tolist(), word_t[scarce].tolist(), block.word_w[words].tolist()
+    room_s, room_t = (np.zeros(max(ids, default=-1) + 1, np.int64) for ids in (word_s, word_t))
+    room_s[word_s], room_t[word_t] = block.most_s[words], block.most_t[words]
+    room_s, room_t = room_s.tolist(), room_t.tolist()
+    bound = np.searchsorted(of, np.arange(len(kept) + 1)).tolist()
     left, right, score = block.left[kept].tolist(), block.right[kept].tolist(), block.score[kept].tolist()
     anchor, lighter = block.anchor[kept].tolist(), light[kept].tolist()
     bounds = np.searchsorted(block.group[kept], np.arange(groups + 1)).tolist()
@@ -328,26 +364,20 @@ def align_block(block: Block, use_chain: bool = True, use_program: bool = True,
         x, y = bounds[g], bounds[g + 1]
         if x == y:
             continue
-        used_s: dict[int, int] = {}
-        used_t: dict[int, int] = {}
         taken: set[int] = set()
 
-        def confirm(chosen: list[tuple[float, int, float, float]]) -> bool:
+        def confirm(chosen: list[tuple[float, int, float, float]]) -> None:
             """Take those (strength, pair, words and share asked) that still explain enough, the strongest first."""
-            some = False
             for _, k, least, share in sorted(chosen, reverse=True):
-                rest, mine = 0.0, []
-                for w in range(begins[k], ends[k]):
-                    if used_s.get(word_s[w], 0) < most_s[w] and used_t.get(word_t[w], 0) < most_t[w]:
-                        rest += word_w[w]
-                        mine.append(w)
+                rest = free[k]
+                mine = [w for w in range(bound[k], bound[k + 1]) if room_s[word_s[w]] > 0 and room_t[word_t[w]] > 0]
+                for w in mine:
+                    rest += word_w[w]
                 if rest > 0 and rest >= least and rest >= (PLENTY_SHARE if rest >= PLENTY else share) * lighter[k]:
                     for w in mine:
-                        used_s[word_s[w]] = used_s.get(word_s[w], 0) + 1
-                        used_t[word_t[w]] = used_t.get(word_t[w], 0) + 1
+                        room_s[word_s[w]] -= 1
+                        room_t[word_t[w]] -= 1
                     taken.add(k)
-                    some = True
-            return some
 
         fixed = chain([(left[k], right[k]) for k in range(x, y) if anchor[k] > 0]) if use_chain else []
         on = set(fixed)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quire.functions.sentences import is_abbreviation
 from quire.llm import align as A
 from quire.llm.sentences import sentences
 
@@ -182,3 +183,9 @@ def test_frame(spark):
     assert [r for r in got if r[0] == 1] == [(1, 0, 0), (1, 0, 0), (1, 1, 1), (1, 1, 1)]
     assert {r[0] for r in got} <= {1, 6, 8} and (6, 0, 0) in got
     assert A.align_groups(df.limit(0), A.train(A.texts_of(df.limit(0)), lexicon)).count() == 0
+
+
+def test_sentences_end_after_words_that_only_end_like_abbreviations():
+    for text in ("Went to the Xyzetc. Then", "Said abc.e.g. Then", "......e.g. Then", "approximately approx. Then", "It was preapprox. Then", "Aa A. Smith", "Ça. Then", "translation. Then", "x.translate. Then"):
+        at = text.rindex(". ")
+        assert (len(sentences(text)) == 1) == is_abbreviation(text, at), text
