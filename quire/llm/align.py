@@ -9,7 +9,7 @@ chained again, apart from them, until nothing is found: those are the moved sent
 
 How strong a pair is comes from a table of translations. It is counted over all groups: the sentences
 that the chain of anchors pairs, and those that stand alone between two of them or alone in a group,
-give counts of words that occur together, combined in each task and summed by word. The lexicon counts
+give counts of words that occur together, combined in each task and summed by word; none is left out. The lexicon counts
 as a few sightings of its renderings, so with little data it carries the table and with much it doesn't.
 """
 
@@ -22,7 +22,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.sentences import sentences
@@ -30,8 +31,6 @@ from quire.session import cut, lookup_join
 
 #: Sightings a rendering of the lexicon counts as, and what one of the corpus must have: sightings, share and lift.
 SEEN, LEAST_COUNT, LEAST_SHARE, LEAST_LIFT = 3.0, 3, 0.12, 4.0
-#: Translations that are kept of a word, and the share of its sightings in a task below which a pair isn't handed on.
-MOST, SLACK = 4, LEAST_SHARE / 4
 #: A word weighs 1 if one in e to the power of this sentences holds it (in smaller corpora one in all).
 RARE_LOG = 10.0
 #: What a pair must explain: words (by weight), and share of the lighter sentence; less where the program agrees. On the
@@ -45,8 +44,8 @@ ON_CHAIN, AGAIN = 1.0, 0.25
 BLOCK = 1500
 #: Translations up to which the table is sent to the tasks; beyond it, words are joined with it.
 TABLE_ROWS = 500_000
-#: Pairs of words a task holds before it hands them on, and those of one pair of sentences from which it teaches nothing.
-HELD_PAIRS, TEACHES = 4_000_000, 250_000
+#: Pairs of words a task holds before it hands them on, and those of one pair of sentences that are counted at once.
+HELD_PAIRS, AT_ONCE = 4_000_000, 250_000
 #: Rows that share their part of a table too large to be sent.
 SHARED_ROWS = 20_000
 
@@ -56,9 +55,45 @@ _whole = re.compile(r"[^\W_]+(?:[.,]\d+)*")
 _unseen = re.compile("[­​-‏⁠﻿]")
 
 
-def _folded(text: str) -> list[str]:
+#: Kinds of code points: separators, letters, digits, dots and commas, line feeds. Found out as they come.
+_OTHER, _LETTER, _DIGIT, _POINT, _LINE = range(5)
+_kinds = np.full(0x110000, 255, np.uint8)
+
+
+def _kind(point: int) -> int:
+    c = chr(point)
+    if c in ".,\n":
+        return _LINE if c == "\n" else _POINT
+    return _DIGIT if c.isdecimal() else _LETTER if c.isalnum() else _OTHER
+
+
+def _split(text: str) -> list[str]:
+    """``_token.findall`` for long texts: what belongs to no token becomes blanks, at which the text is split."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kinds[points]
+    if (kinds == 255).any():
+        for p in np.unique(points[kinds == 255]).tolist():
+            _kinds[p] = _kind(p)
+        kinds = _kinds[points]
+    # Dots and commas right after a digit, or after others of that kind there, belong to its number.
+    at = np.flatnonzero(kinds == _POINT)
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+        before = np.where(at[first] > 0, kinds[at[first] - 1], _OTHER)
+        kinds[at] = np.repeat(np.where(before == _DIGIT, _DIGIT, _OTHER), np.diff(np.append(first, len(at))))
+    points = np.where(kinds == _OTHER, np.uint32(32), points)
+    # Tokens of different kinds that touch, and line feeds, which are tokens one by one.
+    touch = np.flatnonzero((kinds[1:] != kinds[:-1]) & (kinds[1:] != _OTHER) & (kinds[:-1] != _OTHER) | (kinds[1:] == _LINE) & (kinds[:-1] == _LINE)) + 1
+    return [x for x in np.insert(points, touch, 32).tobytes().decode("utf-32-le", "surrogatepass").split(" ") if x]
+
+
+def _plainly(text: str) -> str:
     # A dotless or a dotted i counts as i on both sides, so that names stay equal.
-    return _token.findall(_unseen.sub("", text).replace("İ", "i").lower().replace("ı", "i"))
+    return _unseen.sub("", text).replace("İ", "i").lower().replace("ı", "i")
+
+
+def _folded(text: str) -> list[str]:
+    return _token.findall(_plainly(text))
 
 
 def _plain(token: str) -> str:
@@ -121,7 +156,7 @@ def _side(groups: list[list[str]]) -> tuple[np.ndarray, list[str], np.ndarray, n
     """Token ids, the token of each id, the sentence of each token, and the first sentence of each group."""
     first = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64)
     # The number of a footnote is no anchor.
-    found = _folded("\n".join([_note.sub("", s) if "[^" in s else s for g in groups for s in g]))
+    found = _split(_plainly("\n".join([_note.sub("", s) if "[^" in s else s for g in groups for s in g])))
     raw, kinds = pd.factorize(np.array(found, dtype=object))
     same, words = pd.factorize(np.array([_plain(t) for t in kinds], dtype=object))
     ids = same[raw] if len(raw) else np.zeros(0, np.int64)
@@ -468,6 +503,11 @@ class Counts:
 
     def add(self, source: list[list[str]], target: list[list[str]]) -> None:
         """The groups of a block: sentences of either side."""
+        for _ in self.parts(source, target):
+            pass
+
+    def parts(self, source: list[list[str]], target: list[list[str]]) -> Iterator[None]:
+        """``add`` in parts, after each of which what is held may be handed on."""
         s, t = _side(source), _side(target)
         left, right = sure_pairs(source, target, s, t)
         self.sentences += sum(len(g) for g in source)
@@ -480,39 +520,53 @@ class Counts:
                 self._add("f", words, ids)
             size = np.diff(start)[picked] if len(picked) else np.zeros(0, np.int64)
             sides.append((ids, words, start[picked] if len(picked) else size, size))
-        fit = sides[0][3] * sides[1][3] <= TEACHES
-        (s_ids, s_words, s_at, s_n), (t_ids, t_words, t_at, t_n) = [(ids, words, at[fit], n[fit]) for ids, words, at, n in sides]
+        (s_ids, s_words, s_at, s_n), (t_ids, t_words, t_at, t_n) = sides
         self.n += len(s_n)
         for kind, ids, words, at, n in (("s", s_ids, s_words, s_at, s_n), ("t", t_ids, t_words, t_at, t_n)):
             self._add(kind, words, ids[_spans(np.stack([at, at + n], 1))] if len(n) else ids[:0])
+        # Sentences of very many pairs of words are counted in shares of their source words.
+        share = np.maximum(1, AT_ONCE // np.maximum(t_n, 1))
+        shares = -(-s_n // share)
+        of = np.repeat(np.arange(len(s_n)), shares)
+        skip = (np.arange(len(of)) - np.repeat(np.cumsum(shares) - shares, shares)) * share[of]
+        s_at, s_n, t_at, t_n = s_at[of] + skip, np.minimum(share[of], s_n[of] - skip), t_at[of], t_n[of]
         size = s_n * t_n
-        pair = np.repeat(np.arange(len(size)), size)
-        k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
-        to_s, to_t = (np.array([mine.setdefault(w, len(mine)) for w in words] + [0], np.int64) for mine, words in zip(self.ids, (s_words, t_words)))
-        width = np.maximum(t_n, 1)[pair]
-        key = (to_s[s_ids[s_at[pair] + k // width]] << 32) | to_t[t_ids[t_at[pair] + k % width]] if len(pair) else k
-        if len(key):
-            self.pairs.append(_counted(key))
-            self.held += len(self.pairs[-1][0])
+        lot = np.cumsum(size) // HELD_PAIRS
+        for low, high in zip(at := np.searchsorted(lot, np.unique(lot)), [*at[1:], len(lot)]):
+            some = size[low:high]
+            pair = np.repeat(np.arange(low, high), some)
+            k = np.arange(len(pair)) - np.repeat(np.cumsum(some) - some, some)
+            to_s, to_t = (np.array([mine.setdefault(w, len(mine)) for w in words] + [0], np.int64) for mine, words in zip(self.ids, (s_words, t_words)))
+            width = np.maximum(t_n, 1)[pair]
+            key = (to_s[s_ids[s_at[pair] + k // width]] << 32) | to_t[t_ids[t_at[pair] + k % width]] if len(pair) else k
+            if len(key):
+                self.pairs.append(_counted(key))
+                self.held += len(self.pairs[-1][0])
+                yield
 
     def rows(self, everything: bool = True) -> pd.DataFrame:
         """What was counted, as rows (kind, a, b, n), and a new start."""
-        out = []
+        return self.batch(everything).to_pandas()
+
+    def batch(self, everything: bool = True) -> pa.Table:
+        """``rows`` as Arrow."""
+        out = [pa.table({c: pa.array([], kind) for c, kind in (("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64()))})]
+
+        def put(kind: str, a: pa.Array, b: pa.Array, n: np.ndarray | list) -> None:
+            out.append(pa.table({"kind": pa.repeat(kind, len(a)), "a": a, "b": b, "n": pa.array(n, pa.int64())}))
+
         if self.pairs:
-            key, at = np.unique(np.concatenate([k for k, _ in self.pairs]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([c for _, c in self.pairs])).astype(np.int64)
-            s, t = (np.array(list(mine), dtype=object) for mine in self.ids)
-            # Lossy counting: what is far below the least share of its word here is kept back, so that a
-            # share is understated by SLACK at most; of a word that is rare here nothing is.
-            here = np.array([self.words["t"].get(w, 0) for w in t])
-            often = n >= SLACK * here[key & 0xFFFFFFFF]
-            key, n = key[often], n[often]
-            out.append(pd.DataFrame({"kind": "b", "a": s[key >> 32], "b": t[key & 0xFFFFFFFF], "n": n}))
+            key = np.concatenate([k for k, _ in self.pairs])
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.add.reduceat(np.concatenate([c for _, c in self.pairs])[order], first)
+            put("b", *(pa.array(list(mine), pa.string()).take(pa.array(ids)) for mine, ids in zip(self.ids, (key[first] >> 32, key[first] & 0xFFFFFFFF))), n)
         self.pairs, self.held, self.ids = [], 0, ({}, {})
         if everything:
-            out += [pd.DataFrame({"kind": kind, "a": list(of), "b": "", "n": list(of.values())}) for kind, of in self.words.items() if of]
-            out.append(pd.DataFrame({"kind": ["n", "m"], "a": ["", ""], "b": ["", ""], "n": [self.n, self.sentences]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"kind": [], "a": [], "b": [], "n": []})
+            for kind, of in [*self.words.items(), ("n", {"": self.n}), ("m", {"": self.sentences})]:
+                put(kind, pa.array(list(of), pa.string()), pa.repeat("", len(of)), list(of.values()))
+        return pa.concat_tables(out)
 
 
 def word_counts(rows: DataFrame, clean: Callable[[str, str], tuple[str, str] | None] | None = None, lower: bool = False) -> DataFrame:
@@ -524,23 +578,25 @@ def word_counts(rows: DataFrame, clean: Callable[[str, str], tuple[str, str] | N
     the words that all sources, taught from or not, write in lower case.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
-        for pdf in batches:
-            for start in range(0, len(pdf), BLOCK):
-                texts = list(zip(pdf["s"].iloc[start : start + BLOCK], pdf["t"].iloc[start : start + BLOCK]))
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                texts = list(zip(*(batch.column(c).slice(start, BLOCK).to_pylist() for c in ("s", "t"))))
                 if lower:
                     found, kinds = pd.factorize(np.array(_whole.findall("\n".join([s for s, _ in texts])), dtype=object))
                     small = np.array([w[0].islower() for w in kinds] + [False])
                     counts._add("p", kinds.tolist(), found[small[found]])
                 if clean:
                     texts = [c for s, t in texts if (c := clean(s, t))]
-                counts.add([sentences(s) for s, _ in texts], [sentences(t) for _, t in texts])
-                if counts.held > HELD_PAIRS:
-                    yield counts.rows(False)
-        yield counts.rows()
+                for _ in counts.parts([sentences(s) for s, _ in texts], [sentences(t) for _, t in texts]):
+                    if counts.held > HELD_PAIRS:
+                        yield from counts.batch(False).to_batches()
+        yield from counts.batch().to_batches()
 
-    return rows.mapInPandas(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    # A task has combined what it hands on, so it is moved first and then summed.
+    counted = rows.select("s", "t").mapInArrow(run, "kind string, a string, b string, n long")
+    return counted.repartition("kind", "a", "b").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def learned(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -567,8 +623,7 @@ def learned(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     lift = F.col("c") * n_all >= LEAST_LIFT * F.col("n_s") * F.col("n_t")
     sure = (F.col("c") + F.col("given")) / (F.col("n_t") + F.col("n_given"))
     good = sums.withColumn("sure", sure).where((F.col("sure") >= LEAST_SHARE) & ((F.col("given") > 0) | (F.col("c") >= LEAST_COUNT) & (F.col("c") >= LEAST_SHARE * F.col("n_t")) & lift))
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sure"), F.desc("a")))
-    entries = good.withColumn("best", best).where(F.col("best") <= MOST)
+    entries = cut(good)
     rendered = entries.select("a").distinct().withColumn("rendered", F.lit(True))
     seen = of["f"].select("a", F.col("n").alias("f")).join(rendered, "a", "full")
     # Rare words weigh most; a word that renders nothing weighs nothing, one of the lexicon alone half.

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -185,6 +186,43 @@ def test_frame(spark):
     assert A.align_groups(df.limit(0), A.train(A.texts_of(df.limit(0)), lexicon)).count() == 0
 
 
+def test_all_pairs_of_words_are_counted(monkeypatch):
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("al", "em", "in", "ol", "ur")]
+    common = [([" ".join(["zon", *rng.sample(words, 4)])], [" ".join(["qar", *rng.sample(words, 4)])]) for _ in range(300)]
+    letters = [a + b + c for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmnprst"]
+    long = [([" ".join(f"{w}x" for w in letters)], [" ".join(f"{w}q" for w in letters)])]
+    brute = Counter((a, b) for s, t in [*common, *long] for a in {*s[0].split()} for b in {*t[0].split()})
+    for at_once in (A.AT_ONCE, 1000):
+        monkeypatch.setattr(A, "AT_ONCE", at_once)
+        counts = A.Counts()
+        counts.add([s for s, _ in common], [t for _, t in common])
+        counts.add([s for s, _ in long], [t for _, t in long])
+        got = counts.rows()
+        assert {(r.a, r.b): r.n for r in got[got.kind == "b"].itertuples()} == brute and len(letters) ** 2 > 250_000
+    monkeypatch.setattr(A, "HELD_PAIRS", 3000)
+    counts, parts = A.Counts(), []
+    for _ in counts.parts([s for s, _ in long], [t for _, t in long]):
+        assert counts.held <= 5000
+        parts.append(counts.rows(False))
+    assert len(parts) > 50 and sum(len(x) for x in parts) == len(letters) ** 2
+
+
+def test_all_renderings_of_enough_share_are_kept(spark):
+    fill = [(f"{a}{b}n kol{k} mor{k}", f"{a}{b}t kel{k} mer{k}") for k in range(200) for a, b in [("bcdfg"[k % 5], "aeiou"[k // 40])]]
+    rows = [(f"{w}a", "tek") for w in ("bir", "iki", "uch", "dor", "bes", "alt") for _ in range(5)] + fill
+    table = A.train(spark.createDataFrame(rows, "s string, t string"), lexicon_of(spark, []))
+    assert {a for a, _ in table.entries["tek"]} == {"bira", "ikia", "ucha", "dora", "besa", "alta"}
+
+
+def test_tokens_of_long_texts():
+    rng = random.Random(1)
+    some = "ab1٣2.,.,\n  -_ç²ıǅ😀´́Ⅷ½中_\x00 \x1c"
+    for _ in range(3000):
+        text = "".join(rng.choice(some) for _ in range(rng.randint(0, 14)))
+        assert A._split(text) == A._token.findall(text)
+
+
 def test_sentences_end_after_words_that_only_end_like_abbreviations():
     for text in ("Went to the Xyzetc. Then", "Said abc.e.g. Then", "......e.g. Then", "approximately approx. Then", "It was preapprox. Then", "Aa A. Smith", "Ça. Then", "translation. Then", "x.translate. Then"):
         at = text.rindex(". ")
