@@ -1,8 +1,8 @@
 """Repetition inside a single document (problem 7).
 
 Texts are folded to words in blocks, as arrays of code points: letters lose case and marks,
-invisible characters are left out, everything else separates. Word and character n-grams are hashed;
-of each n-gram that stood earlier in the same text one part goes to the bucket of its hash, and a
+invisible characters are left out, everything else separates. All word and character n-grams of a text are
+hashed; of each that stood earlier in the same text one part goes to the bucket of its hash, and a
 logistic regression over these buckets, trained on a bounded sample that the exact measure labels and
 calibrated (Platt) on a part held out, gives every text a probability, in Arrow batches. Only texts
 that reach a fixed threshold are then measured exactly; the others never are. Where the sample has only
@@ -28,9 +28,8 @@ TRAIN_ROWS = 3000
 LOW = 0.01
 #: Lengths of the word n-grams and of the character n-grams of the features, and buckets of each.
 WORD_GRAMS, CHAR_GRAM, BUCKETS = (1, 2, 3), 16, 64
-#: Of the character n-grams those are used whose hash falls into one of this many parts; of the word n-grams
-#: of a text with more words than this, one in as many as it has times these words.
-CHAR_PARTS, FULL_WORDS = 16, 512
+#: Bits of a hash that are compared, beside the number of its text.
+HASH_BITS = 40
 #: Code points handled at once.
 BLOCK_CHARS = 1_500_000
 #: Columns of the features: the buckets of each kind, the share of each kind, the number of words.
@@ -164,23 +163,17 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse features as (text, column, value): repeated n-grams of each kind by bucket, all of them, and the words."""
     n = len(w.at) - 1
     count = w.count
-    found = []
-    rate = np.maximum(1, count // FULL_WORDS).astype(np.uint64)
-    for kind, size in enumerate(WORD_GRAMS):
-        key, doc, _ = _grams(w, size)
-        if rate.max(initial=1) > 1:
-            # Of long texts an even share of the n-grams, equal ones alike.
-            picked = (key >> np.uint64(40)) % rate[doc] == 0
-            key, doc = key[picked], doc[picked]
-        found.append((kind, key, doc, _seen(_mix(key ^ _mix(doc + np.uint64(77))))))
-    found.append((KINDS - 1, *_char_grams(w.folded, w.doc_at)))
     docs, columns, values = [], [], []
-    for kind, key, doc, seen in found:
+    for kind in range(KINDS):
+        key, doc = _grams(w, WORD_GRAMS[kind])[:2] if kind < len(WORD_GRAMS) else _char_grams(w)
         of = np.maximum(np.bincount(doc.astype(np.int64), minlength=n), 1)
-        hit = doc[seen].astype(np.int64)
-        docs.append(hit)
-        columns.append(kind * BUCKETS + (key[seen] % np.uint64(BUCKETS)).astype(np.int64))
-        values.append(1 / of[hit])
+        again = _again(key, doc)
+        hit = (again >> np.uint64(HASH_BITS)).astype(np.int64)
+        cells = np.bincount(hit * BUCKETS + (again % np.uint64(BUCKETS)).astype(np.int64), minlength=n * BUCKETS)
+        cell = np.flatnonzero(cells)
+        docs.append(cell // BUCKETS)
+        columns.append(kind * BUCKETS + cell % BUCKETS)
+        values.append(cells[cell] / of[cell // BUCKETS])
         docs.append(np.arange(n))
         columns.append(np.full(n, KINDS * BUCKETS + kind))
         values.append(np.bincount(hit, minlength=n) / of)
@@ -190,25 +183,30 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(columns), np.concatenate(values)
 
 
+def _again(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of the n-grams of each text those that stood earlier in it: the text, and below it HASH_BITS of the hash."""
+    both = np.sort((doc << np.uint64(HASH_BITS)) | (key >> np.uint64(64 - HASH_BITS)))
+    return both[1:][both[1:] == both[:-1]]
+
+
 def dense(sparse: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
     """The features of ``n`` texts as a matrix."""
     doc, column, value = sparse
     return np.bincount(doc * COLUMNS + column, value, n * COLUMNS).reshape(n, COLUMNS)
 
 
-def _char_grams(folded: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed character n-grams of a part of all hashes: hash, text, whether it occurred earlier in the text."""
-    h = (folded + np.uint32(1)) * np.uint32(2654435761)
-    h ^= h >> np.uint32(15)
+def _char_grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each character n-gram, and its text; none goes beyond the end of its text."""
+    h = w.folded.astype(np.uint64)
     width = 1
     while width < CHAR_GRAM:
-        wide = h * np.uint32(2246822519 + 2 * width)
-        wide[:-width] += h[width:]
-        h, width = wide ^ (wide >> np.uint32(13)), width * 2
-    picked = np.flatnonzero(h % np.uint32(CHAR_PARTS) == 0)
-    doc = np.repeat(np.arange(len(doc_at) - 1, dtype=np.uint64), np.diff(np.searchsorted(picked, doc_at)))
-    key = h[picked[: len(doc)]].astype(np.uint64)
-    return key // np.uint64(CHAR_PARTS), doc, _seen(key | (doc << np.uint64(32)))
+        h = _mix(h[: max(0, len(h) - width)]) + h[width:]
+        width *= 2
+    ends = w.doc_at[1:] - 1  # before the line feed
+    ends[-1:] = len(w.folded)
+    count = np.maximum(ends - w.doc_at[:-1] - CHAR_GRAM + 1, 0)
+    at = np.repeat(w.doc_at[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return _mix(h[at]), np.repeat(np.arange(len(count), dtype=np.uint64), count)
 
 
 def _blocks(texts: list[str | None]) -> Iterator[list[str]]:

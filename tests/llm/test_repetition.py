@@ -118,3 +118,22 @@ def test_defined_results(spark):
     assert got[900].n_words == got[901].n_words == got[902].n_words == 0 and got[900].share == 0 and got[1].probability is None
     assert R.train(df.limit(0)) is None and R.repeated_share(df.limit(0), found=True).count() == 0
     assert R.repeated_share(df, model=None, found=True).count() == 42
+
+
+def test_features_look_at_every_position():
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(900)]
+    texts = [" ".join(rng.choice(words, size)) for size in (3, 40, 700, 3000)] + ["", "Ab, cd. " * 40, "é x"]
+    texts.append(texts[3] + " " + texts[3][2000:2600])
+    table = R.dense(R.features(R.read(texts)), len(texts))
+    for text, row in zip(texts, table):
+        points = R._folded(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        points = points[points != R._DROP].tolist()
+        own = "".join(chr(p) if p != R._GAP else " " for p in points).split()
+        for kind, (of, size) in enumerate([*((own, n) for n in R.WORD_GRAMS), (points, R.CHAR_GRAM)]):
+            grams = [tuple(of[i : i + size]) for i in range(len(of) - size + 1)]
+            again = (len(grams) - len(set(grams))) / max(1, len(grams))
+            assert np.isclose(row[R.KINDS * R.BUCKETS + kind], again) and np.isclose(row[kind * R.BUCKETS : (kind + 1) * R.BUCKETS].sum(), again)
+    # And what a text gives doesn't hang on the texts beside it.
+    alone = np.vstack([R.dense(R.features(R.read([t])), 1) for t in texts])
+    assert np.array_equal(alone, table)
