@@ -73,11 +73,11 @@ def test_the_search_agrees_with_comparing_all(spark):
     import random
 
     rng = random.Random(8)
-    rows = sorted({(" ".join(rng.choices(["the", "old", "map", "red", "bell", "sun", "of"], k=3)), " ".join(rng.choices("abc", k=rng.randint(1, 6)))) for _ in range(150)})
+    rows = sorted({(" ".join(rng.choices(["the", "old", "map", "red", "bell", "sun", "of"], k=rng.randint(2, 4))), " ".join(rng.choices("abc", k=rng.randint(1, 9)))) for _ in range(150)})
     near = [P._Near(b, s) for s, b in rows]
     for i, x in enumerate(near):
         for y in near[:i]:
             x.compare(y)
-    df = spark.createDataFrame([(s, b, " ".join(P.fold(b)[:4])) for s, b in rows], "s string, bare string, head string")
+    df = spark.createDataFrame([(s, b, *P._Near(b, s).begins()) for s, b in rows], "s string, bare string, head string, small long")
     got = {tuple(r) for r in P.begins_alike(df, df).collect()}
     assert got == {(x.source, x.bare) for x in near if x.like >= P.TEMPLATE} and 0 < len(got) < len(rows)
